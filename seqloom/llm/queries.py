@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.common import latest, quoted, table, tidy
-from seqloom.llm import aggregation, bpe, hotcold, packing, sketch
+from seqloom.llm import abuse, aggregation, bpe, hotcold, packing, sketch
 
 PERCENTILES = ["deepcpf1_score_pct", "enpam_gb_score_pct", "TTTV_enCas12a_aggregated_score_pct"]
 SCORES = ["RS3_score_Chen2013", "specificity_chrIII_sequence_crisprots", "deepcpf1_score", "enpam_gb_score"]
@@ -91,6 +91,26 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return full.select("containers", "tokens", "fullest", F.ceil(F.col("tokens") / CAPACITY).alias("least_possible"), (F.col("tokens") / (F.col("containers") * CAPACITY)).alias("filled"))
 
 
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score, p-value and number of significant passages of every document."""
+    documents = table(spark, d, "documents")
+    model = abuse.train(documents, table(spark, d, "review_labels"), "doc_id", "text", "abusive")
+    scored = documents.select("doc_id", "source", abuse.passage_scores(F.col("text"), model).alias("s"))
+    return scored.select("doc_id", "source", "s.score", "s.p_value", "s.passages", (F.col("s.passages") > 0).alias("abusive"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where("abusive").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, abusive documents and their share for every source, sources without documents included."""
+    counts = p9_scores(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("abusive").alias("abusive"))
+    listed = table(spark, d, "doc_sources").select("source").distinct()
+    full = listed.join(counts, "source", "full_outer").na.fill(0, ["documents", "abusive"])
+    return full.withColumn("rate", F.when(F.col("documents") > 0, F.col("abusive") / F.col("documents")))
+
+
 _TARGET = r"nullif(regexp_replace(target_id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '')"
 _GUIDES = f"""
 WITH g AS (SELECT * FROM (SELECT * REPLACE ({_TARGET} AS target_id), row_number() OVER (PARTITION BY {_TARGET}, guide_id ORDER BY loaded_at DESC) AS r FROM scored_guides) WHERE r = 1 AND target_id IS NOT NULL),
@@ -102,6 +122,7 @@ _BETA = "list_min([1 - power(1 - x[1], 4), 6 * power(x[2], 2) * power(1 - x[2],
 QUERIES = {
     "p2_found": p2_found, "p2_days": p2_days, "p3_found": p3_found, "p3_ranking": p3_ranking, "p6_found": p6_found,
     "p7_ids": p7_ids, "p8_found": p8_found, "p8_placed": p8_placed, "p8_fill": p8_fill,
+    "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
 
 SQL = {
