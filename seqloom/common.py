@@ -63,3 +63,13 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read again from the shared folder, its lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes from fewer files than there are cores; unchanged otherwise.
+
+    Small inputs of compressed text are otherwise read and worked on by one
+    task.  An input of many files, as any large one is, isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -1,6 +1,7 @@
 """Queries of this library and the SQL they are held against."""
 
-from seqloom.plans import dealt
+from seqloom.plans import dealt, sequence_queries
 
-QUERIES = {**dealt.QUERIES}
-SQL = {**dealt.SQL}
+_PARTS = (dealt, sequence_queries)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
