@@ -92,15 +92,6 @@ def pam_weight(pam: Column) -> Column:
     return F.coalesce(F.element_at(sq._table(sq.PAM_TAIL), F.substring(pam, 2, 2)), F.lit(0.0))
 
 
-def pair_key(key: str, complement: bool) -> tuple[str, str]:
-    """Bases of a matrix key like ``rA:dC``: guide base and off-target base.
-
-    U stands for T.  ``complement``: the key names the base opposite to the off-target's.
-    """
-    g, o = (x[-1].upper().replace("U", "T") for x in key.split(":"))
-    return g, ("TGCA"["ACGT".index(o)] if complement else o)
-
-
 def per_guide(hits: DataFrame, keys: list[str], score: str, count: str = "loci", most: int = 4, second: str | None = None, tttv: str | None = None) -> DataFrame:
     """Per-guide totals of scored hits in one aggregation.
 
