@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqloom.common import quoted
+from seqloom.common import cut, quoted
 
 #: Coordinates per tile: a whole chromosome of 2.5e8 bases has 239.
 TILE = 1 << 20
@@ -51,10 +51,11 @@ def merge_ranges(df: DataFrame, keys: Sequence[str], start: str = "start", end:
     before = F.max("__e").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     marked = local.join(reach, [*names, "__t"]).withColumn("__before", F.greatest(before, F.col("__reach")))
     marked = marked.withColumn("__new", (F.col("__before").isNull() | (F.col("__s") > F.col("__before"))).cast("long"))
-    marked = marked.withColumn("__i", F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # both uses below read the merged ranges again instead of merging twice
+    marked = cut(marked.withColumn("__i", F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0))).drop("__before", "__new", "__reach"))
     # rows before a tile's first new period belong to the last period begun in an earlier tile
     begun = F.when(F.col("__c") > 0, F.struct("__t", "__c"))
-    last = marked.groupBy(*names, "__t").agg(F.sum("__new").alias("__c")).select(*names, "__t", F.last(begun, ignorenulls=True).over(tiles).alias("__last"))
+    last = marked.groupBy(*names, "__t").agg(F.max("__i").alias("__c")).select(*names, "__t", F.last(begun, ignorenulls=True).over(tiles).alias("__last"))
     owned = marked.join(last, [*names, "__t"]).withColumn("__own", F.when(F.col("__i") > 0, F.struct(F.col("__t"), F.col("__i").alias("__c"))).otherwise(F.col("__last")))
     periods = owned.groupBy(*names, "__own").agg(F.min("__s").alias("seg_start"), F.max("__e").alias("seg_end"))
     return periods.select(*(F.col(n).alias(k) for k, n in zip(keys, names)), "seg_start", "seg_end")
@@ -73,7 +74,7 @@ def with_next(periods: DataFrame, keys: Sequence[str], tile: int = TILE) -> Data
 
 def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", tile: int = TILE) -> DataFrame:
     """Rows ``keys``, ``kind`` (merged or gap), ``seg_start``, ``seg_end``; nulls and odd ranges as in :func:`merge_ranges`."""
-    both = with_next(merge_ranges(df, keys, start, end, tile), keys, tile)
+    both = with_next(cut(merge_ranges(df, keys, start, end, tile)), keys, tile)
     merged = F.struct(F.lit("merged").alias("kind"), F.col("seg_start"), F.col("seg_end"))
     gap = F.struct(F.lit("gap").alias("kind"), F.col("seg_end").alias("seg_start"), F.col("next_start").alias("seg_end"))
     rows = F.when(F.col("next_start").isNull(), F.array(merged)).otherwise(F.array(merged, gap))
