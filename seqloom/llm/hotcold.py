@@ -20,16 +20,17 @@ HEAVY_ROWS, MOST_HEAVY = 20_000, 10_000
 RANGES, SALTS = 512, 16
 
 
-def heavy_groups(df: DataFrame, group: str, scores: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def heavy_groups(df: DataFrame, group: str, scores: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame | None:
     """The heavy groups with the bounds of their scores: ``__g``, ``__lo0``, ``__hi0``, ...
 
     Counted once over all rows; the at most ``MOST_HEAVY`` rows come to the
-    driver, so that plans without heavy groups have no second branch.
+    driver, so that plans without heavy groups (None) have no second branch.
     """
     bounds = [f(s).alias(f"__{n}{i}") for i, s in enumerate(scores) for f, n in ((F.min, "lo"), (F.max, "hi"))]
     counts = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__rows"), *bounds)
     found = counts.where(F.col("__rows") > heavy_rows).orderBy(F.desc("__rows"), "__g").limit(MOST_HEAVY)
-    return df.sparkSession.createDataFrame(found.collect(), found.schema)
+    few = found.toArrow()
+    return df.sparkSession.createDataFrame(few) if len(few) else None
 
 
 def split(df: DataFrame, group: str, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,10 +56,9 @@ def top_n(df: DataFrame, group: str, score: str, ties: Sequence[str], n: int, co
     columns = df.columns
     order = [F.desc_nulls_last(score), *(F.asc(t) for t in ties), *(F.asc(c) for c in columns if c not in {group, score, *ties})]
     heavy = heavy_groups(df if counted is None else counted, group, [score], heavy_rows)
-    few = heavy.isEmpty()
-    light_rows, heavy_rows_ = (df, None) if few else split(df, group, heavy)
+    light_rows, heavy_rows_ = (df, None) if heavy is None else split(df, group, heavy)
     ranked = light_rows.withColumn("rank_no", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank_no") <= n)
-    if few:
+    if heavy is None:
         return ranked
     ranges = heavy_rows_.withColumn("__r", score_range(F.col(score), F.col("__lo0"), F.col("__hi0"))).drop("__lo0", "__hi0", "__rows")
     # of a heavy group only the ranges that can hold its n best
@@ -78,11 +78,10 @@ def ranks(df: DataFrame, group: str, scores: Sequence[str], heavy_rows: int = HE
     """
     columns = df.columns
     heavy = heavy_groups(df, group, scores, heavy_rows)
-    few = heavy.isEmpty()
-    light_rows, heavy_part = (df, None) if few else split(df, group, heavy)
+    light_rows, heavy_part = (df, None) if heavy is None else split(df, group, heavy)
     own = Window.partitionBy(group)
     light = light_rows.select(*columns, F.count(F.lit(1)).over(own).alias("__n"), *(F.rank().over(own.orderBy(F.desc(s))).cast("long").alias(f"__rank_{i}") for i, s in enumerate(scores)))
-    if few:
+    if heavy is None:
         return light
     # heavy groups: each different value once with its weight, ordered inside ranges
     values = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(s).alias("v"), F.col(f"__lo{i}").alias("lo"), F.col(f"__hi{i}").alias("hi")) for i, s in enumerate(scores)))).alias("__x")

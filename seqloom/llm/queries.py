@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.common import latest, quoted, table, tidy
+from seqloom.common import latest, quoted, spread, table, tidy
 from seqloom.llm import abuse, aggregation, bpe, hotcold, packing, sketch
 
 PERCENTILES = ["deepcpf1_score_pct", "enpam_gb_score_pct", "TTTV_enCas12a_aggregated_score_pct"]
@@ -69,11 +69,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(table(spark, d, "documents").select("doc_id", "text"), "doc_id", bpe.token_count(F.col("text")), CAPACITY)
+    return packing.pack(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", bpe.token_count(F.col("text")), CAPACITY)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +95,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     """Score, p-value and number of significant passages of every document."""
     documents = table(spark, d, "documents")
     model = abuse.train(documents, table(spark, d, "review_labels"), "doc_id", "text", "abusive")
-    scored = documents.select("doc_id", "source", abuse.passage_scores(F.col("text"), model).alias("s"))
+    scored = spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", abuse.passage_scores(F.col("text"), model).alias("s"))
     return scored.select("doc_id", "source", "s.score", "s.p_value", "s.passages", (F.col("s.passages") > 0).alias("abusive"))
 
 
