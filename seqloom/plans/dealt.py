@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.common import table, tidy
+from seqloom.common import quoted, spread, table, tidy
 from seqloom.operators import packed, periods, skew
 
 #: Columns that tell rows apart; ``loaded_at`` is left out, resent rows count once.
@@ -59,9 +59,8 @@ def p4_cover(spark: SparkSession, d: str) -> DataFrame:
 def _cells(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name, (key, fields) in LISTS.items():
-        # each different cell of a key once: resent rows repeat them
         stacked = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("cell")) for f in fields))).alias("x")
-        rows = table(spark, d, name).select(F.lit(name).alias("tbl"), F.col(key).alias("row_key"), stacked).select("tbl", "row_key", "x.*")
+        rows = spread(table(spark, d, name).select(key, *(quoted(f) for f in fields))).select(F.lit(name).alias("tbl"), F.col(key).alias("row_key"), stacked).select("tbl", "row_key", "x.*")
         parts.append(rows.where(F.col("cell").isNotNull()))
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).withColumns({"src": F.concat_ws(".", "tbl", "field"), "quotes": F.col("field") != "mismatch_counts"})
 
