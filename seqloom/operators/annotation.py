@@ -162,3 +162,21 @@ def stitch(df: DataFrame, keys: list[str], start: str, sequence: str) -> DataFra
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", start long, end long, sequence string"
     return pairs.groupBy(*keys, "r_start").applyInPandas(join, schema)
+
+
+def filter_orfs(df: DataFrame, p_column: str, most: float, keep: dict[str, list[str]] | None = None, least_aa: int = 0, aa: Column | None = None) -> DataFrame:
+    """Open reading frames with a p- or q-value of at most ``most``, of the listed types, long enough.
+
+    Values that are no numbers count as missing; a column without any number is not filtered on.
+    """
+    value = F.col(p_column).try_cast("double")
+    known = df.agg(F.count(value).alias("n")).scalar()
+    out = df.where((value <= most) | (known == 0))
+    for column, values in (keep or {}).items():
+        out = out.where(F.col(column).isin(values))
+    return out if aa is None else out.where(aa >= least_aa)
+
+
+def drop_unscored(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with a value in one of the columns at least."""
+    return df.dropna(how="all", subset=columns)

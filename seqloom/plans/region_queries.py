@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.common import latest, table, tidy
 from seqloom.functions import sequence as sq
-from seqloom.operators import annotation, expression, intervals, offtarget, periods, ranking, track
+from seqloom.operators import annotation, expression, intervals, loci, motif, offtarget, periods, ranking, track
 
 WIDE = 200
 
@@ -317,3 +317,94 @@ SELECT id, count(DISTINCT q) AS sequences, max((length(b) - length(translate(b,
     "join_guides": """WITH s AS (SELECT DISTINCT guide_id FROM guide_sidecar), t AS (SELECT guide_id, count(*) AS hits FROM ot_records WHERE guide_id IS NOT NULL GROUP BY guide_id)
 SELECT CASE WHEN hits IS NULL THEN 'no hits' WHEN s.guide_id IS NULL THEN 'no guide' ELSE 'both' END AS state, count(*) AS guides, coalesce(sum(hits), 0)::BIGINT AS hits FROM s FULL JOIN t ON s.guide_id = t.guide_id GROUP BY ALL""",
 }
+
+
+def _places(spark, d):
+    rows = table(spark, d, "flashfry_raw").where(F.col("offTargets").rlike(LISTED)).select("contig", "target", "offTargets").distinct()
+    return loci.places(rows)
+
+
+def loci_places(spark, d):
+    return _places(spark, d).groupBy("contig", "mm").agg(F.count(F.lit(1)).alias("places"), F.min("place").alias("first"))
+
+
+def loci_summary(spark, d):
+    matrix = {(p, g, o): round(0.5 + 0.02 * p, 4) for p in range(1, 21) for g in "ACGT" for o in "ACGT" if g != o}
+    out = loci.summary(_places(spark, d), matrix)
+    return out.select("contig", *(f"mm{i}" for i in range(5)), *(F.round(c, 6).alias(c) for c in ("tttn_score", "tttv_score")), "unique_tttn", "unique_tttv")
+
+
+def compare_scores(spark, d):
+    """Largest score per guide of the records against the other matrix's."""
+    records = table(spark, d, "ot_records").where("guide_id is not null")
+    one = records.groupBy("guide_id").agg(F.max("cfd").alias("score"))
+    two = records.groupBy("guide_id").agg(F.max("cfd2").alias("score"))
+    out = loci.compare(one, two, "guide_id", "score", 0.01)
+    return out.select("shared", "equal", F.round("largest", 6).alias("largest"), F.round("mean", 6).alias("mean"))
+
+
+def compare_alleles(spark, d):
+    """Guides of the sidecar whose sequence differs between a guide's first and last delivery."""
+    rows = table(spark, d, "guide_sidecar").where("sequence is not null")
+    first = rows.groupBy("guide_id").agg(F.min(F.struct("loaded_at", "sequence")).alias("x")).select("guide_id", "x.sequence")
+    last = rows.where("on_count > 1").groupBy("guide_id").agg(F.max(F.struct("loaded_at", "sequence")).alias("x")).select("guide_id", "x.sequence")
+    both, one, two = loci.allele_specific(first, last, "guide_id", "sequence", 1)
+    n = lambda df, k: df.agg(F.lit(k).alias("side"), F.count(F.lit(1)).alias("guides"))
+    return n(both, "differ").unionAll(n(one, "first")).unionAll(n(two, "last"))
+
+
+def union_tables(spark, d):
+    r = table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return loci.union_checked([r, n]).dropDuplicates()
+
+
+def tasks_remaining(spark, d):
+    wanted = table(spark, d, "combine_on_off").select("chrom", "strand").distinct()
+    return loci.remaining(wanted, table(spark, d, "flashfry_raw").select(F.split("contig", ":")[0].alias("chrom"), F.split("contig", ":")[2].alias("strand")).where("chrom < 'chrV'"), ["chrom", "strand"])
+
+
+def tile_tasks(spark, d):
+    """Covered stretches of each chromosome cut into tasks of 20,000 bases."""
+    return motif.tile_ranges(region_union(spark, d), "start", "end", 20_000).select("chrom", "start", "task_start", "task_end")
+
+
+def spec_outer(spark, d):
+    """Specificities of two searches side by side; rows without any are left out."""
+    a = latest(table(spark, d, "ot_aggregate"), ["id"], ["specificity_tttn"])
+    b = table(spark, d, "gscan_output").select(tidy(F.col("id")).alias("id"), "specificity").where("id is not null").groupBy("id").agg(F.max(F.when(~F.isnan("specificity"), F.col("specificity"))).alias("specificity"))
+    a = a.withColumn("specificity_tttn", F.when(~F.isnan("specificity_tttn"), F.col("specificity_tttn"))).where("id is not null")
+    return annotation.drop_unscored(expression.outer_join([a, b], "id"), ["specificity_tttn", "specificity"])
+
+
+def orf_blocks(spark, d):
+    """Amino acids of ranges written as blocks, three per region set."""
+    rows = _regions(spark, d).groupBy("region_set", "chrom").agg(F.array_join(F.slice(F.array_sort(F.collect_set(F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")))), 1, 3), "|").alias("blocks"))
+    return rows.select("region_set", "chrom", "blocks", sq.block_aa_length(F.col("blocks")).alias("aa"))
+
+
+LISTED = "^[ACGT]+_[0-9]+_[0-9]+<[^>]*>(,[ACGT]+_[0-9]+_[0-9]+<[^>]*>)*$"
+_PLACES = r"""WITH q AS (SELECT DISTINCT contig, target, offTargets AS o FROM flashfry_raw WHERE regexp_full_match(offTargets, '[ACGT]+_[0-9]+_[0-9]+<[^>]*>(,[ACGT]+_[0-9]+_[0-9]+<[^>]*>)*')),
+x AS (SELECT contig, target, unnest(string_split(o[:-2], '>,')) AS x FROM q), y AS (SELECT contig, target, string_split(x, '_')[1] AS site, unnest(string_split(x[instr(x, '<') + 1:], '|')) AS l FROM x),
+p AS (SELECT contig, target, site, l[:-3] || ':' || CASE WHEN l[-1:] = 'F' THEN '+' ELSE '-' END AS place, hamming(target[5:24], site[5:24]) AS mm FROM y WHERE regexp_full_match(l, '.*\^[FR]') AND length(target) = length(site))
+"""
+QUERIES |= {f.__name__: f for f in (tile_tasks, spec_outer, orf_blocks, loci_places, loci_summary, compare_scores, compare_alleles, union_tables, tasks_remaining)}
+SQL |= {
+    "tile_tasks": _R + f"SELECT chrom, s AS start, t AS task_start, least(e, t + 20000) AS task_end FROM (SELECT chrom, s, e, unnest(range(s, e, 20000)) AS t FROM ({_merged(_EXON + ' UNION ALL ' + _PEAK, 'chrom')}))",
+    "spec_outer": r"""WITH a AS (SELECT id, CASE WHEN NOT isnan(specificity_tttn) THEN specificity_tttn END AS specificity_tttn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) AS r FROM ot_aggregate WHERE id IS NOT NULL) WHERE r = 1),
+b AS (SELECT nullif(regexp_replace(id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '') AS id, max(CASE WHEN NOT isnan(specificity) THEN specificity END) AS specificity FROM gscan_output GROUP BY 1)
+SELECT id, specificity_tttn, specificity FROM a FULL JOIN (SELECT * FROM b WHERE id IS NOT NULL) USING (id) WHERE specificity_tttn IS NOT NULL OR specificity IS NOT NULL""",
+    "orf_blocks": _R + """, b AS (SELECT region_set, chrom, list_slice(list_sort(list(DISTINCT s || '-' || e)), 1, 3) AS l FROM r GROUP BY region_set, chrom)
+SELECT region_set, chrom, array_to_string(l, '|') AS blocks, list_sum(list_transform(l, lambda x: string_split(x, '-')[2]::BIGINT - string_split(x, '-')[1]::BIGINT + 1))::BIGINT // 3 - 1 AS aa FROM b""",
+    "loci_places": _PLACES + "SELECT contig, mm::INTEGER AS mm, count(*) AS places, min(place) AS first FROM p GROUP BY contig, mm",
+    "loci_summary": _PLACES + r""", s AS (SELECT *, list_product(list_transform(range(1, 21), lambda i: CASE WHEN target[i + 4] = site[i + 4] THEN 1.0::DOUBLE ELSE round(0.5 + 0.02 * i, 4)::DOUBLE END)) AS cfd,
+  mm = 0 AND place IS DISTINCT FROM (CASE WHEN string_split(contig, ':')[2]::BIGINT - (CASE WHEN string_split(contig, ':')[3] = '+' THEN 1 ELSE 21 END) >= 1 THEN string_split(contig, ':')[1] || ':' || (string_split(contig, ':')[2]::BIGINT - (CASE WHEN string_split(contig, ':')[3] = '+' THEN 1 ELSE 21 END)) || ':' || string_split(contig, ':')[3] END) AS other FROM p WHERE mm <= 4),
+a AS (SELECT contig, count(*) FILTER (mm = 0) AS mm0, count(*) FILTER (mm = 1) AS mm1, count(*) FILTER (mm = 2) AS mm2, count(*) FILTER (mm = 3) AS mm3, count(*) FILTER (mm = 4) AS mm4, sum(cfd) AS n, sum(CASE WHEN starts_with(site, 'TTTT') THEN 0 ELSE cfd END) AS v,
+  bool_or(other) AS o, bool_or(other AND regexp_matches(site, '^TTT[ACG]')) AS ov, bool_or(other AND starts_with(site, 'TTTT')) AS ot FROM s GROUP BY contig)
+SELECT contig, mm0, mm1, mm2, mm3, mm4, round(CASE WHEN n > 0 THEN 1 / n END, 6) AS tttn_score, round(CASE WHEN v > 0 THEN 1 / v END, 6) AS tttv_score, NOT o AS unique_tttn, (NOT o OR (NOT ov AND ot)) AS unique_tttv FROM a""",
+    "compare_scores": "WITH m AS (SELECT max(cfd) AS a, max(cfd2) AS b FROM ot_records WHERE guide_id IS NOT NULL GROUP BY guide_id) SELECT count(*) AS shared, count(*) FILTER (abs(a - b) <= 0.01) AS equal, round(max(abs(a - b)), 6) AS largest, round(avg(abs(a - b)), 6) AS mean FROM m",
+    "compare_alleles": """WITH r AS (SELECT * FROM guide_sidecar WHERE sequence IS NOT NULL), f AS (SELECT guide_id, arg_min(sequence, (loaded_at, sequence)) AS s FROM r GROUP BY guide_id), l AS (SELECT guide_id, arg_max(sequence, (loaded_at, sequence)) AS s FROM r WHERE on_count > 1 GROUP BY guide_id)
+SELECT 'differ' AS side, count(*) AS guides FROM f JOIN l USING (guide_id) WHERE f.s <> l.s UNION ALL SELECT 'first', count(*) FROM f ANTI JOIN l USING (guide_id) UNION ALL SELECT 'last', count(*) FROM l ANTI JOIN f USING (guide_id)""",
+    "union_tables": "SELECT r_regionkey AS k, r_name AS name FROM region UNION SELECT n_nationkey, n_name FROM nation",
+    "tasks_remaining": "WITH d AS (SELECT DISTINCT string_split(contig, ':')[1] AS chrom, string_split(contig, ':')[3] AS strand FROM flashfry_raw) SELECT DISTINCT chrom, strand FROM combine_on_off c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.chrom = c.chrom AND d.strand = c.strand AND d.chrom < 'chrV')",
+}
