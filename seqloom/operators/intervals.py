@@ -78,7 +78,7 @@ def union(frames: Sequence[DataFrame], keys: Sequence[str] = KEYS, bounds: tuple
 
 
 def subtract(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS, bounds: tuple[str, str] = ("start", "end"), tile: int = TILE) -> DataFrame:
-    """The parts of ``left`` ranges that no ``right`` range covers: keys and bounds, per left row.
+    """The parts of ``left`` ranges that no ``right`` range covers: keys and bounds, per left row; rows with a null key stay whole.
 
     ``right`` is merged first, so the holes of a left range don't overlap and
     each gap is the stretch from one hole's end to the next hole's start.

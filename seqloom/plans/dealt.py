@@ -34,14 +34,14 @@ def p1_guides(spark: SparkSession, d: str) -> DataFrame:
         sums={"cfd_sum": "cfd", "cfd2_sum": "cfd2"}, distinct={"chroms": "chrom", "mms": "mm"}, modes={"usual_mm": "mm"},
         shares={"cfd_median": ("cfd", 0.5), "cfd_p90": ("cfd", 0.9)},
     )
-    return out.withColumns({"cfd_sum": F.round("cfd_sum", 4), "cfd2_sum": F.round("cfd2_sum", 4)})
+    return out.withColumns({"cfd_sum": F.round("cfd_sum", 4), "cfd2_sum": F.round("cfd2_sum", 4), "usual_mm": F.coalesce("usual_mm", F.lit(-1))})
 
 
 def p1_ids(spark: SparkSession, d: str) -> DataFrame:
     """Matches, contigs and specificity of every id of the scan output."""
     rows = table(spark, d, "gscan_output").withColumn("id", tidy(F.col("id")))
     out = skew.key_report(rows, "id", sums={"distance_sum": "match_distance"}, distinct={"contigs": "match_chrm"}, modes={"usual_distance": "match_distance"}, shares={"specificity_median": ("specificity", 0.5)})
-    return out.where(F.col("id").isNotNull())
+    return out.where(F.col("id").isNotNull()).withColumn("usual_distance", F.coalesce("usual_distance", F.lit(-1)))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -110,13 +110,13 @@ SELECT 'ot_records' AS tbl, CAST(guide_id AS VARCHAR) AS key_value FROM a GROUP
 UNION ALL SELECT 'gscan_output', k FROM b WHERE k IS NOT NULL GROUP BY k HAVING count(*) >= 0.01 * (SELECT count(*) FROM b WHERE k IS NOT NULL)""",
     "p1_guides": """
 WITH m AS (SELECT guide_id, mm AS usual_mm FROM (SELECT guide_id, mm, row_number() OVER (PARTITION BY guide_id ORDER BY count(*) DESC, mm) AS r FROM ot_records WHERE mm IS NOT NULL GROUP BY guide_id, mm) WHERE r = 1)
-SELECT o.guide_id, count(*) AS rows, round(sum(cfd), 4) AS cfd_sum, round(sum(cfd2), 4) AS cfd2_sum, count(DISTINCT chrom) AS chroms, count(DISTINCT mm) AS mms, any_value(m.usual_mm) AS usual_mm,
+SELECT o.guide_id, count(*) AS rows, round(sum(cfd), 4) AS cfd_sum, round(sum(cfd2), 4) AS cfd2_sum, count(DISTINCT chrom) AS chroms, count(DISTINCT mm) AS mms, coalesce(any_value(m.usual_mm), -1) AS usual_mm,
   quantile_disc(cfd, 0.5) AS cfd_median, quantile_disc(cfd, 0.9) AS cfd_p90
 FROM ot_records o LEFT JOIN m ON m.guide_id = o.guide_id WHERE o.guide_id IS NOT NULL GROUP BY o.guide_id""",
     "p1_ids": f"""
 WITH g AS (SELECT * REPLACE ({_P1_TIDY} AS id) FROM gscan_output),
 m AS (SELECT id, match_distance AS usual_distance FROM (SELECT id, match_distance, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, match_distance) AS r FROM g WHERE match_distance IS NOT NULL GROUP BY id, match_distance) WHERE r = 1)
-SELECT g.id, count(*) AS rows, sum(match_distance)::BIGINT AS distance_sum, count(DISTINCT match_chrm) AS contigs, any_value(m.usual_distance) AS usual_distance, quantile_disc(CASE WHEN NOT isnan(specificity) THEN specificity END, 0.5) AS specificity_median
+SELECT g.id, count(*) AS rows, sum(match_distance)::BIGINT AS distance_sum, count(DISTINCT match_chrm) AS contigs, coalesce(any_value(m.usual_distance), -1) AS usual_distance, quantile_disc(CASE WHEN NOT isnan(specificity) THEN specificity END, 0.5) AS specificity_median
 FROM g LEFT JOIN m ON m.id = g.id WHERE g.id IS NOT NULL GROUP BY g.id""",
     "p4_found": _P4 + "SELECT * FROM found",
     "p4_cover": _P4 + "SELECT region_set, chrom, CAST(count(*) FILTER (kind = 'merged') AS BIGINT) AS periods, CAST(coalesce(sum(seg_end - seg_start) FILTER (kind = 'merged'), 0) AS BIGINT) AS covered, CAST(coalesce(sum(seg_end - seg_start) FILTER (kind = 'gap'), 0) AS BIGINT) AS uncovered FROM found GROUP BY region_set, chrom",

@@ -148,7 +148,7 @@ def ots_capped(spark, d):
 
 
 def ots_floor(spark, d):
-    rows = offtarget.floored(table(spark, d, "ot_records"), 0.1, ["cfd", "cfd2"])
+    rows = offtarget.floored(table(spark, d, "ot_records").where("mm is not null"), 0.1, ["cfd", "cfd2"])
     return rows.groupBy("chrom", "mm").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -225,7 +225,7 @@ a AS (SELECT guide_id, coalesce(sum(cfd * loci) FILTER (mm > 0), 0) AS c, max(cf
 SELECT guide_id, round(c, 6) AS cfd_sum, round(m, 6) AS max_cfd, round(t, 6) AS tttv_sum, o AS on_count, f AS off_count, greatest(o - 1, 0) || ';' || m1 || ';' || m2 AS mm_counts, round(1 / (1 + c), 6) AS spec, round(1 / (greatest(o, 1) + c), 6) AS spec_own, (o + f >= 4 OR c > 4) AS saturated FROM a""",
     "ots_reaggregate": "SELECT guide_id, round(1 / (1 + coalesce(sum(cfd), 0)), 6) AS specificity, round(max(cfd), 6) AS max_cfd, count(*) AS hits FROM ot_records WHERE guide_id IS NOT NULL GROUP BY guide_id",
     "ots_capped": "SELECT DISTINCT guide_id, mm, site FROM (SELECT *, dense_rank() OVER (PARTITION BY guide_id, mm ORDER BY site) AS k FROM (SELECT guide_id, mm, chrom || ':' || lpad(start::VARCHAR, 10, '0') AS site FROM ot_records WHERE guide_id IS NOT NULL AND mm IS NOT NULL)) WHERE k <= 3",
-    "ots_floor": "SELECT chrom, mm, count(*) AS rows FROM ot_records WHERE greatest(coalesce(cfd, 0), coalesce(cfd2, 0)) >= 0.1 GROUP BY chrom, mm",
+    "ots_floor": "SELECT chrom, mm, count(*) AS rows FROM ot_records WHERE mm IS NOT NULL AND greatest(coalesce(cfd, 0), coalesce(cfd2, 0)) >= 0.1 GROUP BY chrom, mm",
     "ots_unique_guides": _SIDE + "SELECT guide_id, s AS sequence FROM v WHERE s IN (SELECT s FROM v GROUP BY s HAVING count(*) = 1)",
     "ots_first_per_id": "SELECT id, match_chrm, match_position, match_distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY match_chrm NULLS FIRST, match_position NULLS FIRST, match_strand NULLS FIRST, match_distance NULLS FIRST, loaded_at NULLS FIRST) AS r FROM gscan_output WHERE id IS NOT NULL) WHERE r = 1",
 }

@@ -3,6 +3,7 @@
 import os
 from collections import Counter
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -24,7 +25,7 @@ def oracle(data):
 
 def rows(df):
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or v != v else repr(round(float(v), 9)) if isinstance(v, float) else str(v)
+    plain = lambda v: None if pd.isna(v) else repr(round(float(v), 9)) if isinstance(v, float) else str(v)
     return Counter(tuple(plain(v) for v in r) for r in df.itertuples(index=False))
 
 
