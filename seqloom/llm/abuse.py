@@ -30,8 +30,8 @@ FIT_TEXTS = 20_000
 LEAST_COUNT, PRIOR, TERM_SHARE, TERM_WEIGHT = 2, (1.0, 1.5, 1.5), 0.9, 3.0
 #: Cost per word, bounds of an n-gram's log-odds, score of a word never seen.
 COST, LOW, HIGH, UNSEEN = 1.7, -2.5, 4.0, -1.0
-#: Probability of a clean text's best passage below which a passage is reported.
-SIGNIFICANCE = 0.001
+#: Probability of a clean text's best passage below which a passage is reported: one clean text in 10,000, as abusive ones are a few in 100.
+SIGNIFICANCE = 0.0001
 #: Shares of clean texts between which the extreme-value distribution is fitted: above, wrong verdicts would count.
 FIT_AT = (0.80, 0.93)
 SLICE_BYTES, CACHED_PIECES = 4 << 20, 300_000
