@@ -16,7 +16,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.common import quoted
+from seqloom.common import cut, quoted
 from seqloom.llm import hotcold
 
 
@@ -39,7 +39,8 @@ def aggregate_ranks(df: DataFrame, group: str, item: str, scores: Sequence[str],
     m = len(scores)
     names = [f"__s{i}" for i in range(m)]
     rows = df.select(quoted(group).alias("__group"), quoted(item).alias("__item"), *(F.when(~F.isnan(quoted(s).cast("double")), quoted(s).cast("double")).alias(n) for s, n in zip(scores, names))).dropna()
-    ranked = hotcold.ranks(rows, "__group", names, heavy_rows)
+    # counted, ranked and joined below: deduplicated once, in the shared folder
+    ranked = hotcold.ranks(cut(rows), "__group", names, heavy_rows)
     shares = F.array_sort(F.array(*(F.col(f"__rank_{i}") / F.col("__n") for i in range(m))))
     ranked = ranked.withColumn("__x", shares)
     least = F.least(*(order_statistic(F.col("__x")[k - 1], k, m) for k in range(1, m + 1))) if m > 1 else F.col("__x")[0]
