@@ -408,3 +408,12 @@ SELECT 'differ' AS side, count(*) AS guides FROM f JOIN l USING (guide_id) WHERE
     "union_tables": "SELECT r_regionkey AS k, r_name AS name FROM region UNION SELECT n_nationkey, n_name FROM nation",
     "tasks_remaining": "WITH d AS (SELECT DISTINCT string_split(contig, ':')[1] AS chrom, string_split(contig, ':')[3] AS strand FROM flashfry_raw) SELECT DISTINCT chrom, strand FROM combine_on_off c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.chrom = c.chrom AND d.strand = c.strand AND d.chrom < 'chrV')",
 }
+
+SQL["track_rows"] = r"""WITH l AS (SELECT contig, chrom, start, strand, CASE WHEN NOT isnan(deepcpf1_score) THEN deepcpf1_score END AS eff, CASE WHEN NOT isnan(TTTV_enCas12a_aggregated_score) THEN TTTV_enCas12a_aggregated_score END AS spec
+  FROM (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY loaded_at DESC) AS r FROM combine_on_off) WHERE r = 1),
+p AS (SELECT eff, round_even((min(k) + max(k)) / 2.0::DOUBLE / any_value(n) * 100, 2) AS pct FROM (SELECT eff, row_number() OVER (ORDER BY eff) AS k, count(*) OVER () AS n FROM l WHERE eff IS NOT NULL) GROUP BY eff),
+t AS (SELECT id, dropped, list_transform(range(1, 4), lambda i: coalesce(CASE WHEN regexp_full_match(trim(string_split(mismatch_counts, ';')[i]), '[+-]?[0-9]+') THEN try_cast(string_split(mismatch_counts, ';')[i] AS INTEGER) END, 0)) AS m FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) AS r FROM ot_aggregate) WHERE r = 1),
+j AS (SELECT l.*, p.pct, t.dropped, coalesce(t.m, [0, 0, 0]) AS m FROM l LEFT JOIN p ON p.eff = l.eff LEFT JOIN t ON t.id = l.contig)
+SELECT contig AS name, CASE WHEN strand = '+' THEN start - 4 ELSE start END AS chromStart, CASE WHEN strand = '+' THEN start + 23 ELSE start + 27 END AS chromEnd, least(1000, greatest(0, coalesce(round_even(spec * 100, 0), 0)))::INTEGER AS score,
+  CASE WHEN coalesce(dropped = 1, false) OR m[1] > 0 THEN '150,150,150' WHEN m[2] > 0 OR m[3] > 0 THEN '120,120,120' WHEN coalesce(spec * 100, 0) <= 55 THEN '200,0,0' WHEN coalesce(pct, 0) < 50 THEN '255,100,100' WHEN pct < 75 THEN '255,255,0' ELSE '0,200,0' END AS itemRgb,
+  round_even(pct, 0)::INTEGER || '% (' || printf('%.4f', eff) || ')' AS shown FROM j"""
