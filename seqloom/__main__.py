@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from seqloom import __version__, pipeline
+from seqloom.common import ship
 from seqloom.operators import motif
 from seqloom.sinks import writers
 from seqloom.sources import readers
@@ -85,6 +86,7 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("-n", "--top-n", type=int, default=-1)
     a = top.parse_args(argv)
     spark = SparkSession.builder.appName("seqloom").getOrCreate()
+    ship(spark)
     if a.command == "generate-guides":
         found = pipeline.generate_guides(readers.fasta(spark, a.fasta), _enzyme(a), tuple(a.context), tuple(a.cut), _regions(spark, a.keep, a.feature), _regions(spark, a.discard, a.feature), a.join, tuple(a.gc), a.no_poly_t, a.no_poly_g, a.restricted, tuple(a.flanks), pams=a.alternative_pams, active_site=a.active_site)
         found.write.mode("overwrite").parquet(f"{a.output}/guides")
