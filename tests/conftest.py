@@ -17,6 +17,9 @@ def spark(tmp_path_factory):
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(home / "wh")).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from seqloom.common import ship
+
+    ship(s)
     yield s
     s.stop()
 
