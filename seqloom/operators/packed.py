@@ -86,16 +86,8 @@ def infer_delimiters(cells: DataFrame, source: str, cell: str, quotes: str) -> D
     return each.groupBy("source", "sign").agg(F.sum("__w").alias("cells"), (regular + F.lit(0.5) * F.greatest(F.lit(0.0), spread(m) - spread(n))).alias("score"))
 
 
-def unpack(df: DataFrame, source: str, keep: Sequence[str], cell: str, quotes: str, scores: list | None = None) -> DataFrame:
-    """One row per non-empty value: columns ``keep``, ``pos`` (from 1), ``item``.
-
-    Delimiters are inferred per value of ``source`` (a bounded number of
-    sources: one row per source and candidate comes to the driver).  ``quotes``
-    names a boolean column: false where quotes mean nothing.  Null, empty and
-    blank cells give no row.
-    """
-    if scores is None:
-        scores = infer_delimiters(df, source, cell, quotes).collect()
+def _split_by_source(source: Column, cell: Column, quotes: Column, scores: list) -> Column:
+    """The values of a cell as an array, split by the delimiters that ``scores`` finds in its source."""
     signs: dict[str, list[str]] = {}
     for r in scores:
         if r["score"] > LEAST_SCORE:
@@ -106,12 +98,37 @@ def unpack(df: DataFrame, source: str, keep: Sequence[str], cell: str, quotes: s
     split = F.when(F.lit(False), F.array().cast("array<string>"))
     for found, sources in by_signs.items():
         for q in (True, False):
-            split = split.when(quoted(source).isin(sources) & (quoted(quotes) == F.lit(q)), split_cell(quoted(cell), found, q))
-    split = split.when(quoted(quotes), split_cell(quoted(cell), [])).otherwise(split_cell(quoted(cell), [], False))
+            split = split.when(source.isin(sources) & (quotes == F.lit(q)), split_cell(cell, found, q))
+    return split.when(quotes, split_cell(cell, [])).otherwise(split_cell(cell, [], False))
+
+
+def unpack(df: DataFrame, source: str, keep: Sequence[str], cell: str, quotes: str, scores: list | None = None) -> DataFrame:
+    """One row per non-empty value: columns ``keep``, ``pos`` (from 1), ``item``.
+
+    Delimiters are inferred per value of ``source`` (a bounded number of
+    sources: one row per source and candidate comes to the driver).  ``quotes``
+    names a boolean column: false where quotes mean nothing.  Null, empty and
+    blank cells give no row.
+    """
+    if scores is None:
+        scores = infer_delimiters(df, source, cell, quotes).collect()
+    split = _split_by_source(quoted(source), quoted(cell), quoted(quotes), scores)
     rows = df.where(quoted(cell).isNotNull()).select(*(quoted(k) for k in keep), F.posexplode(split).alias("__p", "item"))
     return rows.where(F.col("item") != "").select(*(quoted(k) for k in keep), (F.col("__p") + 1).cast("int").alias("pos"), "item")
 
 
+def rewritten(df: DataFrame, cell: str, sign: str, quotes: bool = True, empty: bool = True) -> DataFrame:
+    """``df`` with the cells of one column, written in any notation, in one: values joined by ``sign``, null as it is.
+
+    The column is one source, whose delimiters are inferred from all its cells.
+    ``empty=False`` leaves empty values out, else they keep their position.
+    """
+    one = df.select(F.lit(cell).alias("source"), quoted(cell).alias("cell"), F.lit(quotes).alias("quotes"))
+    scores = infer_delimiters(one, "source", "cell", "quotes").collect()
+    values = _split_by_source(F.lit(cell), quoted(cell), F.lit(quotes), scores)
+    return df.withColumn(cell, F.array_join(values if empty else F.filter(values, lambda x: x != ""), sign))
+
+
 def first_position(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The first value of every key, by position."""
     order = Window.partitionBy(*(quoted(k) for k in keys)).orderBy("pos", "item")

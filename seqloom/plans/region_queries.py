@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.common import latest, table, tidy
 from seqloom.functions import sequence as sq
-from seqloom.operators import annotation, expression, intervals, loci, motif, offtarget, periods, ranking, track
+from seqloom.operators import annotation, expression, intervals, loci, motif, offtarget, packed, periods, ranking, track
 
 WIDE = 200
 
@@ -320,7 +320,7 @@ SELECT CASE WHEN hits IS NULL THEN 'no hits' WHEN s.guide_id IS NULL THEN 'no gu
 
 
 def _places(spark, d):
-    rows = table(spark, d, "flashfry_raw").where(F.col("offTargets").rlike(LISTED)).select("contig", "target", "offTargets").distinct()
+    rows = packed.rewritten(table(spark, d, "flashfry_raw").select("contig", "target", "offTargets"), "offTargets", ",", empty=False).distinct()
     return loci.places(rows)
 
 
@@ -383,7 +383,6 @@ def orf_blocks(spark, d):
     return rows.select("region_set", "chrom", "blocks", sq.block_aa_length(F.col("blocks")).alias("aa"))
 
 
-LISTED = "^[ACGT]+_[0-9]+_[0-9]+<[^>]*>(,[ACGT]+_[0-9]+_[0-9]+<[^>]*>)*$"
 _PLACES = r"""WITH q AS (SELECT DISTINCT contig, target, offTargets AS o FROM flashfry_raw WHERE regexp_full_match(offTargets, '[ACGT]+_[0-9]+_[0-9]+<[^>]*>(,[ACGT]+_[0-9]+_[0-9]+<[^>]*>)*')),
 x AS (SELECT contig, target, unnest(string_split(o[:-2], '>,')) AS x FROM q), y AS (SELECT contig, target, string_split(x, '_')[1] AS site, unnest(string_split(x[instr(x, '<') + 1:], '|')) AS l FROM x),
 p AS (SELECT contig, target, site, l[:-3] || ':' || CASE WHEN l[-1:] = 'F' THEN '+' ELSE '-' END AS place, hamming(target[5:24], site[5:24]) AS mm FROM y WHERE regexp_full_match(l, '.*\^[FR]') AND length(target) = length(site))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.common import latest, spread, table
 from seqloom.functions import sequence as sq
-from seqloom.operators import motif, offtarget, ranking
+from seqloom.operators import motif, offtarget, packed, ranking
 
 NGG = motif.PRESETS["spcas9-ngg"]
 TTTN = motif.PRESETS["cas12a-tttn"]
@@ -92,7 +92,7 @@ def seq_iupac(spark, d):
 
 def cell_targets(spark, d):
     """Off-targets packed in list cells: different sequences, places and distances per contig."""
-    rows = table(spark, d, "flashfry_raw").where(F.col("offTargets").rlike("^[ACGT]+_[0-9]+_[0-9]+<[^>]*>(,[ACGT]+_[0-9]+_[0-9]+<[^>]*>)*$")).select("contig", "offTargets").distinct()
+    rows = packed.rewritten(table(spark, d, "flashfry_raw").select("contig", "offTargets"), "offTargets", ",", empty=False).distinct()
     x = rows.select("contig", F.explode(sq.cell_targets(F.col("offTargets"))).alias("x"))
     return x.groupBy("contig").agg(F.count(F.lit(1)).alias("sequences"), F.sum("x.count").cast("long").alias("places"), F.sum(F.size("x.loci")).cast("long").alias("loci"), F.max("x.mm").alias("most"))
 
