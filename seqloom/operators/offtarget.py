@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,30 +32,39 @@ def segments(length: int, parts: int) -> list[tuple[int, int]]:
     return [(a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+#: Seeds shorter than this join too many pairs that are not near.
+SEED = 7
+
+
 def near_matches(guides: DataFrame, sites: DataFrame, guide: str, site: str, length: int, most: int) -> DataFrame:
     """Pairs of a guide row and a site row with at most ``most`` different bases: all columns and ``mm``.
 
     Cut into ``most`` + 1 segments, two such sequences agree in one segment at
-    least: both sides are joined on segment number and segment, and the
-    distance is computed on packed bases in generated code.  A pair that agrees
-    in several segments is kept at the first, so nothing is repeated and no
-    distinct is needed.  Rows without a pure sequence of that length have no
-    match.  Columns of the two sides must differ in name.
+    least, and cut into ``most`` + 2 in two of them, which is taken where one
+    alone would be shorter than ``SEED``: both sides are joined on the number
+    of the choice of segments and their bases, and the distance is computed on
+    packed bases in generated code.  A pair that agrees in several choices is
+    kept at the first, so nothing is repeated and no distinct is needed.  Rows
+    without a pure sequence of that length have no match.  Columns of the two
+    sides must differ in name.
     """
     if not 0 <= most < length:
         raise ValueError("the radius must be smaller than the sequence")
-    parts = segments(length, most + 1)
+    agree = 1 if length // (most + 1) >= SEED else 2
+    parts = segments(length, most + agree)
+    choices = list(combinations(range(len(parts)), agree))
 
     def seeds(df: DataFrame, column: str, side: str) -> DataFrame:
         c = quoted(column)
-        seg = F.array(*(F.substring(c, a, n) for a, n in parts))
+        seg = F.array(*(F.concat(*(F.substring(c, *parts[i]) for i in choice)) for choice in choices))
         rows = df.where(sq.is_dna(c, length)).withColumn(f"__{side}", sq.pack(F.upper(c)))
         return rows.select("*", F.posexplode(seg).alias(f"__{side}_no", f"__{side}_seg"))
 
     a, b = seeds(guides.withColumn(guide, F.upper(quoted(guide))), guide, "g"), seeds(sites.withColumn(site, F.upper(quoted(site))), site, "s")
     pairs = a.join(b, (F.col("__g_no") == F.col("__s_no")) & (F.col("__g_seg") == F.col("__s_seg")))
     pairs = pairs.withColumn("mm", sq.packed_mismatches(F.col("__g"), F.col("__s"))).where(F.col("mm") <= most)
-    first = reduce(lambda x, y: x & y, (~((F.col("__g_no") > i) & (F.substring(quoted(guide), p, n) == F.substring(quoted(site), p, n))) for i, (p, n) in enumerate(parts[:-1])), F.lit(True))
+    earlier = {i: [k for k, c in enumerate(choices) if i < c[-1] and i not in c] for i in range(len(parts))}
+    first = reduce(lambda x, y: x & y, (~(F.col("__g_no").isin(earlier[i]) & (F.substring(quoted(guide), p, n) == F.substring(quoted(site), p, n))) for i, (p, n) in enumerate(parts) if earlier[i]), F.lit(True))
     return pairs.where(first).drop("__g", "__s", "__g_no", "__s_no", "__g_seg", "__s_seg")
 
 

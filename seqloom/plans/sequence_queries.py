@@ -11,14 +11,15 @@ from seqloom.operators import motif, offtarget, packed, ranking
 
 NGG = motif.PRESETS["spcas9-ngg"]
 TTTN = motif.PRESETS["cas12a-tttn"]
-#: A small factor matrix for the queries: (position, guide base, off-target base) -> factor, by rule.
-RADIUS = 2
+#: Most mismatches of a near match (the engine's default), and of the prescreen (the wrapper's threshold).
+RADIUS, SCREEN = 4, 2
 
 
 def factor(p: int, g: str, o: str) -> float:
     return round(0.2 + 0.03 * p + 0.05 * "ACGT".index(g) + 0.04 * "ACGT".index(o), 4)
 
 
+#: A small factor matrix for the queries: (position, guide base, off-target base) -> factor, by rule.
 MATRIX = {(p, g, o): factor(p, g, o) for p in range(1, 24) for g in "ACGT" for o in "ACGT" if g != o}
 
 
@@ -121,7 +122,7 @@ def near_pairs(spark, d):
 def near_prescreen(spark, d):
     rows = _sidecar(spark, d).where(sq.is_dna(F.col("sequence"), 23))
     sites, _ = offtarget.index(rows.select("sequence", F.col("chrom").alias("contig"), F.col("position").alias("offset"), "strand"), "sequence")
-    return offtarget.prescreen(rows.select("guide_id", "sequence"), sites, "sequence", "site", 23, RADIUS).select("guide_id")
+    return offtarget.prescreen(rows.select("guide_id", "sequence"), sites, "sequence", "site", 23, SCREEN).select("guide_id")
 
 
 def near_scores(spark, d):

@@ -1,8 +1,11 @@
 """Queries over small tables of which every row must count, against brute force."""
 
+import math
+import random
 from datetime import datetime, timedelta
 
 from seqloom import plans
+from seqloom.plans.sequence_queries import MATRIX
 
 DAY = datetime(2024, 1, 1)
 NOTATIONS = [",", ";", "|", "/", " ", " , ", "; ", " | ", "\t"]
@@ -36,3 +39,30 @@ def test_off_target_cells_of_any_notation(spark, tmp_path):
     assert got == {(c, m): (len(s[3]), first(s[3])) for c in cells for m, s in zip(away, sites)}
     got = {r.contig: (r.mm0, r.mm1, r.mm2, r.mm3, r.mm4) for r in _query(spark, tmp_path, "loci_summary", flashfry_raw=raw)}
     assert got == {c: tuple(sum(len(s[3]) for m, s in zip(away, sites) if m == d) for d in range(5)) for c in cells}
+
+
+def _changed(rng, s, n):
+    at = rng.sample(range(len(s)), n)
+    return "".join(rng.choice([b for b in "ACGT" if b != c]) if i in at else c for i, c in enumerate(s))
+
+
+def test_near_pairs_and_scores_up_to_four_mismatches(spark, tmp_path):
+    rng = random.Random(4)
+    seqs = []
+    for _ in range(12):
+        base = "".join(rng.choice("ACGT") for _ in range(23))
+        seqs += [base] + [_changed(rng, base, n) for n in (1, 2, 3, 3, 4, 4, 5)]
+    seqs += seqs[:3]
+    rows = [(i, f"g{i}", "chrI", i, "+", s, 1, DAY) for i, s in enumerate(seqs)]
+    side = (rows, "guide_id int, id string, chrom string, position long, strand string, sequence string, on_count int, loaded_at timestamp")
+    distance = lambda a, b: sum(x != y for x, y in zip(a, b))
+    want = sorted((i, u, distance(s, u), seqs.count(u)) for i, s in enumerate(seqs) for u in set(seqs) if distance(s, u) <= 4)
+    assert {w[2] for w in want} == set(range(5))
+    got = _query(spark, tmp_path, "near_pairs", guide_sidecar=side)
+    assert sorted((r.guide_id, r.site, r.mm, r.loci) for r in got) == want
+    for r in _query(spark, tmp_path, "near_scores", guide_sidecar=side):
+        own = [w for w in want if w[0] == r.guide_id]
+        score = lambda w: math.prod(MATRIX[p, a, b] for p, (a, b) in enumerate(zip(seqs[w[0]], w[1]), 1) if a != b)
+        counts = [sum(w[3] for w in own if w[2] == d) for d in range(5)]
+        assert r.mm_counts == ";".join(map(str, [counts[0] - 1, *counts[1:]])) and r.off_count == sum(counts[1:])
+        assert abs(r.cfd_sum - sum(score(w) * w[3] for w in own if w[2] > 0)) < 2e-6
