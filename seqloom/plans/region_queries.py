@@ -378,8 +378,8 @@ def spec_outer(spark, d):
 
 
 def orf_blocks(spark, d):
-    """Amino acids of ranges written as blocks, three per region set."""
-    rows = _regions(spark, d).groupBy("region_set", "chrom").agg(F.array_join(F.slice(F.array_sort(F.collect_set(F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")))), 1, 3), "|").alias("blocks"))
+    """Amino acids of all ranges of a region set and chromosome, written as blocks."""
+    rows = _regions(spark, d).groupBy("region_set", "chrom").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")))), "|").alias("blocks"))
     return rows.select("region_set", "chrom", "blocks", sq.block_aa_length(F.col("blocks")).alias("aa"))
 
 

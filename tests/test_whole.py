@@ -66,3 +66,10 @@ def test_near_pairs_and_scores_up_to_four_mismatches(spark, tmp_path):
         counts = [sum(w[3] for w in own if w[2] == d) for d in range(5)]
         assert r.mm_counts == ";".join(map(str, [counts[0] - 1, *counts[1:]])) and r.off_count == sum(counts[1:])
         assert abs(r.cfd_sum - sum(score(w) * w[3] for w in own if w[2] > 0)) < 2e-6
+
+
+def test_orf_blocks_of_all_ranges(spark, tmp_path):
+    ranges = [(i * 100, i * 100 + 7 * i + 5) for i in range(1, 30)]
+    rows = [("chrI", s, e, "a", "exon", DAY) for s, e in ranges] + [("chrI", e, s, "a", "peak", DAY) for s, e in ranges[:9]] + [("chrI", 10, 40, "b", "exon", DAY)]
+    got = {r.region_set: (r.blocks, r.aa) for r in _query(spark, tmp_path, "orf_blocks", bed_regions=(rows, "chrom string, start long, `end` long, region_set string, region_kind string, loaded_at timestamp"))}
+    assert got == {"a": ("|".join(sorted(f"{s}-{e}" for s, e in ranges)), sum(e - s + 1 for s, e in ranges) // 3 - 1), "b": ("10-40", 9)}
