@@ -206,7 +206,7 @@ def track_lists(spark, d):
 def track_rows(spark, d):
     side = latest(table(spark, d, "combine_on_off"), ["contig"], ["chrom", "start", "strand", "deepcpf1_score", "TTTV_enCas12a_aggregated_score"])
     guides = side.select(F.col("contig").alias("id"), "chrom", "start", "strand", F.when(~F.isnan("deepcpf1_score"), F.col("deepcpf1_score")).alias("eff"), F.when(~F.isnan("TTTV_enCas12a_aggregated_score"), F.col("TTTV_enCas12a_aggregated_score")).alias("spec"))
-    totals = latest(table(spark, d, "ot_aggregate"), ["id"], ["mismatch_counts", "dropped"])
+    totals = packed.rewritten(latest(table(spark, d, "ot_aggregate"), ["id"], ["mismatch_counts", "dropped"]), "mismatch_counts", ";", quotes=False)
     return track.build(guides, totals, "eff", "spec").select("name", "chromStart", "chromEnd", "score", "itemRgb", "shown")
 
 

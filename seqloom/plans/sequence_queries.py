@@ -100,7 +100,8 @@ def cell_targets(spark, d):
 
 def cell_mismatch_counts(spark, d):
     c = sq.mismatch_counts(F.col("mismatch_counts"))
-    return table(spark, d, "ot_aggregate").where("mismatch_counts is not null").select("id", c[0].alias("mm0"), c[1].alias("mm1"), c[2].alias("mm2")).groupBy("mm0", "mm1", "mm2").agg(F.count(F.lit(1)).alias("rows"))
+    rows = packed.rewritten(table(spark, d, "ot_aggregate").select("id", "mismatch_counts"), "mismatch_counts", ";", quotes=False)
+    return rows.where("mismatch_counts is not null").select("id", c[0].alias("mm0"), c[1].alias("mm1"), c[2].alias("mm2")).groupBy("mm0", "mm1", "mm2").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def cell_attributes(spark, d):

@@ -73,3 +73,16 @@ def test_orf_blocks_of_all_ranges(spark, tmp_path):
     rows = [("chrI", s, e, "a", "exon", DAY) for s, e in ranges] + [("chrI", e, s, "a", "peak", DAY) for s, e in ranges[:9]] + [("chrI", 10, 40, "b", "exon", DAY)]
     got = {r.region_set: (r.blocks, r.aa) for r in _query(spark, tmp_path, "orf_blocks", bed_regions=(rows, "chrom string, start long, `end` long, region_set string, region_kind string, loaded_at timestamp"))}
     assert got == {"a": ("|".join(sorted(f"{s}-{e}" for s, e in ranges)), sum(e - s + 1 for s, e in ranges) // 3 - 1), "b": ("10-40", 9)}
+
+
+def test_mismatch_counts_of_any_notation(spark, tmp_path):
+    cells = [d.join(["0", "1", "5", "29", "40"]) for d in NOTATIONS] + ['"0|1|5"', "'0/1/5", " 0, 1, \"5\" ", "0;;5;9", "0", "", None]
+    rows = [(f"chrI:{i}:+", x, 0, DAY) for i, x in enumerate(cells)]
+    aggregate = (rows, "id string, mismatch_counts string, dropped int, loaded_at timestamp")
+    got = {(r.mm0, r.mm1, r.mm2): r.rows for r in _query(spark, tmp_path, "cell_mismatch_counts", ot_aggregate=aggregate)}
+    assert got == {(0, 1, 5): len(NOTATIONS) + 3, (0, 0, 5): 1, (0, 0, 0): 2}
+    on = [(r[0], "chrI", 100 + i, "+", 50.0, 0.9, DAY) for i, r in enumerate(rows)]
+    schema = "contig string, chrom string, start long, strand string, deepcpf1_score double, TTTV_enCas12a_aggregated_score double, loaded_at timestamp"
+    got = {r.name: r.itemRgb for r in _query(spark, tmp_path, "track_rows", ot_aggregate=aggregate, combine_on_off=(on, schema))}
+    near = len(NOTATIONS) + 4
+    assert [got[r[0]] == "120,120,120" for r in rows] == [True] * near + [False] * (len(rows) - near)
