@@ -200,7 +200,7 @@ def track_offsets(spark, d):
 def track_lists(spark, d):
     rows = table(spark, d, "ot_records").where("guide_id is not null and start is not null")
     text = F.concat_ws(";", F.concat_ws(":", "chrom", F.col("start").cast("string")), F.col("mm").cast("string"))
-    return track.off_target_lists(rows, "guide_id", text, "cfd", 5, 100)
+    return track.off_target_lists(rows, "guide_id", text, "cfd", 100, 2000)
 
 
 def track_rows(spark, d):

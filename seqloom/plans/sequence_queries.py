@@ -143,14 +143,14 @@ def ots_reaggregate(spark, d):
 
 
 def ots_capped(spark, d):
-    """At most three places per guide and distance, in order of the place."""
+    """At most 500 places (the engine's default) per guide and distance, in order of the place."""
     rows = table(spark, d, "ot_records").where("guide_id is not null and mm is not null").withColumn("site", F.concat_ws(":", "chrom", F.lpad(F.col("start").cast("string"), 10, "0")))
-    out = offtarget.capped(rows, ["guide_id"], "site", 3)
+    out = offtarget.capped(rows, ["guide_id"], "site", 500)
     return out.select("guide_id", "mm", "site").distinct()
 
 
 def ots_floor(spark, d):
-    rows = offtarget.floored(table(spark, d, "ot_records").where("mm is not null"), 0.1, ["cfd", "cfd2"])
+    rows = offtarget.floored(table(spark, d, "ot_records").where("mm is not null"), 0.023, ["cfd", "cfd2"])
     return rows.groupBy("chrom", "mm").agg(F.count(F.lit(1)).alias("rows"))
 
 

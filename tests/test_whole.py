@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 from seqloom import plans
@@ -86,3 +87,17 @@ def test_mismatch_counts_of_any_notation(spark, tmp_path):
     got = {r.name: r.itemRgb for r in _query(spark, tmp_path, "track_rows", ot_aggregate=aggregate, combine_on_off=(on, schema))}
     near = len(NOTATIONS) + 4
     assert [got[r[0]] == "120,120,120" for r in rows] == [True] * near + [False] * (len(rows) - near)
+
+
+RECORDS = "guide_id int, chrom string, start long, strand string, mm int, cfd double, cfd2 double, run_id string, loaded_at timestamp"
+
+
+def test_caps_and_floor_are_the_defaults_of_the_reference(spark, tmp_path):
+    rows = [(g, "chrI", i, "+", 2, round(1 - i / 4000, 6), None, "r", DAY) for g, n in ((1, 60), (2, 300), (3, 2000), (4, 2001)) for i in range(n)]
+    got = {r.guide_id: (r.off_targets, r.list.split("|") if r.list else []) for r in _query(spark, tmp_path, "track_lists", ot_records=(rows, RECORDS))}
+    assert {g: (n, len(x)) for g, (n, x) in got.items()} == {1: (60, 60), 2: (300, 100), 3: (2000, 100), 4: (2001, 0)}
+    assert got[3][1][:2] == ["chrI:0;2", "chrI:1;2"]
+    got = Counter(r.guide_id for r in _query(spark, tmp_path, "ots_capped", ot_records=(rows, RECORDS)))
+    assert got == {1: 60, 2: 300, 3: 500, 4: 500}
+    rows = [(1, "chrI", i, "+", 2, x, y, "r", DAY) for i, (x, y) in enumerate([(0.0229, None), (0.023, None), (0.05, 0.01), (None, 0.09), (None, None), (0.1, 0.0)])]
+    assert [(r.chrom, r.mm, r.rows) for r in _query(spark, tmp_path, "ots_floor", ot_records=(rows, RECORDS))] == [("chrI", 2, 4)]
