@@ -347,7 +347,7 @@ def compare_alleles(spark, d):
     """Guides of the sidecar whose sequence differs between a guide's first and last delivery."""
     rows = table(spark, d, "guide_sidecar").where("sequence is not null")
     first = rows.groupBy("guide_id").agg(F.min(F.struct("loaded_at", "sequence")).alias("x")).select("guide_id", "x.sequence")
-    last = rows.where("on_count > 1").groupBy("guide_id").agg(F.max(F.struct("loaded_at", "sequence")).alias("x")).select("guide_id", "x.sequence")
+    last = rows.groupBy("guide_id").agg(F.max(F.struct("loaded_at", "sequence")).alias("x")).select("guide_id", "x.sequence")
     both, one, two = loci.allele_specific(first, last, "guide_id", "sequence", 1)
     n = lambda df, k: df.agg(F.lit(k).alias("side"), F.count(F.lit(1)).alias("guides"))
     return n(both, "differ").unionAll(n(one, "first")).unionAll(n(two, "last"))
@@ -361,7 +361,7 @@ def union_tables(spark, d):
 
 def tasks_remaining(spark, d):
     wanted = table(spark, d, "combine_on_off").select("chrom", "strand").distinct()
-    return loci.remaining(wanted, table(spark, d, "flashfry_raw").select(F.split("contig", ":")[0].alias("chrom"), F.split("contig", ":")[2].alias("strand")).where("chrom < 'chrV'"), ["chrom", "strand"])
+    return loci.remaining(wanted, table(spark, d, "flashfry_raw").select(F.split("contig", ":")[0].alias("chrom"), F.split("contig", ":")[2].alias("strand")), ["chrom", "strand"])
 
 
 def tile_tasks(spark, d):

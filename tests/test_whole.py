@@ -101,3 +101,21 @@ def test_caps_and_floor_are_the_defaults_of_the_reference(spark, tmp_path):
     assert got == {1: 60, 2: 300, 3: 500, 4: 500}
     rows = [(1, "chrI", i, "+", 2, x, y, "r", DAY) for i, (x, y) in enumerate([(0.0229, None), (0.023, None), (0.05, 0.01), (None, 0.09), (None, None), (0.1, 0.0)])]
     assert [(r.chrom, r.mm, r.rows) for r in _query(spark, tmp_path, "ots_floor", ot_records=(rows, RECORDS))] == [("chrI", 2, 4)]
+
+
+SIDECAR = "guide_id int, id string, chrom string, position long, strand string, sequence string, on_count int, loaded_at timestamp"
+
+
+def test_alleles_of_first_and_last_deliveries(spark, tmp_path):
+    a, b = "ACGT" * 5 + "AGG", "ACGT" * 5 + "TGG"
+    row = lambda g, s, on, day: (g, f"g{g}", "chrI", 1, "+", s, on, DAY + timedelta(days=day))
+    rows = [row(1, a, 1, 0), row(1, b, 1, 1), row(2, a, 2, 5), row(2, b, 1, 9), row(2, a, 3, 7), row(3, a, 1, 0), row(4, a, 1, 0), row(4, a, 2, 2), row(5, None, 3, 1)]
+    got = {r.side: r.guides for r in _query(spark, tmp_path, "compare_alleles", guide_sidecar=(rows, SIDECAR))}
+    assert got == {"differ": 2, "first": 0, "last": 0}
+
+
+def test_finished_tasks_of_every_chromosome(spark, tmp_path):
+    wanted = [(c, s) for c in ("chrI", "chrV", "chrX") for s in "+-"]
+    done = [("chrI:5:+",), ("chrV:7:-",), ("chrX:9:+",), ("chrX:9:-",), (None,)]
+    got = _query(spark, tmp_path, "tasks_remaining", combine_on_off=(wanted * 2, "chrom string, strand string"), flashfry_raw=(done, "contig string"))
+    assert sorted((r.chrom, r.strand) for r in got) == [("chrI", "-"), ("chrV", "+")]
