@@ -64,7 +64,7 @@ def seq_scalars(spark, d):
     return rows.select(
         "guide_id", sq.reverse_complement(s).alias("rc"), sq.pack(s).alias("packed"), sq.unpack(sq.pack(s), 23).alias("unpacked"), sq.bin_key(s, 7).alias("bin"),
         sq.starts_tttt(s).alias("tttt"), sq.starts_tttv(s).alias("tttv"), sq.separate_pairs(s, "AA").alias("aa"), sq.gc_features(s)["gc"].cast("int").alias("gc20"), sq.five_prime_form(s).alias("five"),
-        F.round(sq.binding_energy(s), 4).alias("energy"), F.array_join(F.flatten(sq.one_hot(F.left(s, F.lit(3)))), "").alias("hot"), F.array_join(sq.tokens(s, 5), ",").alias("tok"),
+        F.round(sq.binding_energy(s), 4).alias("energy"), F.array_join(F.flatten(sq.one_hot(s)), "").alias("hot"), F.array_join(sq.tokens(s, 23), ",").alias("tok"),
     )
 
 

@@ -119,3 +119,10 @@ def test_finished_tasks_of_every_chromosome(spark, tmp_path):
     done = [("chrI:5:+",), ("chrV:7:-",), ("chrX:9:+",), ("chrX:9:-",), (None,)]
     got = _query(spark, tmp_path, "tasks_remaining", combine_on_off=(wanted * 2, "chrom string, strand string"), flashfry_raw=(done, "contig string"))
     assert sorted((r.chrom, r.strand) for r in got) == [("chrI", "-"), ("chrV", "+")]
+
+
+def test_scalars_encode_the_whole_sequence(spark, tmp_path):
+    s = "ACGTTGCAACGGTTCCATGACGA"
+    got = _query(spark, tmp_path, "seq_scalars", guide_sidecar=([(1, "g1", "chrI", 1, "+", s.lower(), 1, DAY)], SIDECAR))
+    assert got[0].hot == "".join("1" if b == c else "0" for c in s for b in "ACGT")
+    assert got[0].tok == ",".join(["1", *(str("ATCG".index(c) + 2) for c in s)])
