@@ -119,7 +119,7 @@ def slim(df: DataFrame, path: str, keep: Sequence[str], compress: bool = True) -
     tsv(df.select(*(quoted(c) for c in keep if c in df.columns)), path, compression="gzip" if compress else "none")
 
 
-def guide_fasta(guides: DataFrame, path: str, sequence: str = "context", by_contig: bool = False) -> None:
-    """Guides as FASTA, bases 5 to 31 of their context; a folder per contig if asked for."""
+def guide_fasta(guides: DataFrame, path: str, sequence: str = "context", by_contig: bool = False, most_rows: int = 0) -> None:
+    """Guides as FASTA, bases 5 to 31 of their context; a folder per contig, or files of at most ``most_rows`` guides, if asked for."""
     rows = guides.select(F.concat(F.lit(">"), motif.packed_id(guides), F.lit("\n"), F.substring(sequence, 5, 27)).alias("value"), "contig")
-    (rows.write.partitionBy("contig") if by_contig else rows.select("value").write).mode("overwrite").text(path)
+    (rows.write.partitionBy("contig") if by_contig else rows.select("value").write).option("maxRecordsPerFile", most_rows).mode("overwrite").text(path)

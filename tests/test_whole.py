@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 from seqloom import plans
 from seqloom.plans.sequence_queries import MATRIX
+from seqloom.sinks import writers
 
 DAY = datetime(2024, 1, 1)
 NOTATIONS = [",", ";", "|", "/", " ", " , ", "; ", " | ", "\t"]
@@ -126,3 +127,11 @@ def test_scalars_encode_the_whole_sequence(spark, tmp_path):
     got = _query(spark, tmp_path, "seq_scalars", guide_sidecar=([(1, "g1", "chrI", 1, "+", s.lower(), 1, DAY)], SIDECAR))
     assert got[0].hot == "".join("1" if b == c else "0" for c in s for b in "ACGT")
     assert got[0].tok == ",".join(["1", *(str("ATCG".index(c) + 2) for c in s)])
+
+
+def test_fasta_split_by_rows(spark, tmp_path):
+    rows = [(f"g{i}", "ACGT" * 5, "AGG", "chrI", i, "+", "ACGT" * 9) for i in range(25)]
+    guides = spark.createDataFrame(rows, "id string, guide string, pam string, contig string, position long, sense string, context string").coalesce(1)
+    writers.guide_fasta(guides, str(tmp_path / "fa"), most_rows=10)
+    sizes = [f.read_text().count(">") for f in (tmp_path / "fa").glob("part-*")]
+    assert sorted(sizes) == [5, 10, 10]
