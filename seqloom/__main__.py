@@ -76,7 +76,8 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--length", type=int, default=20)
     c.add_argument("--mismatches", type=int, default=3)
     c.add_argument("--threshold", type=int, default=2)
-    c.add_argument("--matrix")
+    c.add_argument("--matrix", required=True)
+    c.add_argument("--no-pam-weight", action="store_true")
     c.add_argument("--keep-duplicates", action="store_true")
     c = command("rank-guides", "guides", "targets")
     c.add_argument("--columns", nargs="*", default=[])
@@ -88,12 +89,12 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("seqloom").getOrCreate()
     ship(spark)
     if a.command == "generate-guides":
-        found = pipeline.generate_guides(readers.fasta(spark, a.fasta), _enzyme(a), tuple(a.context), tuple(a.cut), _regions(spark, a.keep, a.feature), _regions(spark, a.discard, a.feature), a.join, tuple(a.gc), a.no_poly_t, a.no_poly_g, a.restricted, tuple(a.flanks), pams=a.alternative_pams, active_site=a.active_site)
+        found = pipeline.generate_guides(readers.fasta_chunks(spark, a.fasta), _enzyme(a), tuple(a.context), tuple(a.cut), _regions(spark, a.keep, a.feature), _regions(spark, a.discard, a.feature), a.join, tuple(a.gc), a.no_poly_t, a.no_poly_g, a.restricted, tuple(a.flanks), pams=a.alternative_pams, active_site=a.active_site)
         found.write.mode("overwrite").parquet(f"{a.output}/guides")
         writers.guide_bed(found, f"{a.output}/bed")
     elif a.command == "index-genome":
         regions = _regions(spark, a.regions, a.feature)
-        sites, places = pipeline.index_genome(readers.fasta(spark, a.fasta), _enzyme(a), regions[0] if regions else None, tuple(a.window))
+        sites, places = pipeline.index_genome(readers.fasta_chunks(spark, a.fasta), _enzyme(a), regions[0] if regions else None, tuple(a.window))
         writers.index(sites, a.output, enzyme=_enzyme(a))
         places.write.mode("overwrite").parquet(f"{a.output}/places")
     elif a.command == "preprocess-annotation":
@@ -101,8 +102,8 @@ def main(argv: list[str] | None = None) -> None:
         for name, df in pipeline.preprocess_annotation(readers.gtf(spark, a.gtf).drop("pairs"), quantified, top_n=a.top_n, model=a.model, tss=a.tss and tuple(a.tss), tes=a.tes and tuple(a.tes)).items():
             writers.tsv(df, f"{a.output}/{name}")
     elif a.command == "score-guides":
-        matrix = readers.penalty_matrix(spark, a.matrix) if a.matrix else None
-        scored = pipeline.score_guides(spark.read.parquet(a.guides), readers.index(spark, a.index), a.length, a.mismatches, a.threshold, matrix, drop_duplicates=not a.keep_duplicates)
+        matrix = readers.penalty_matrix(spark, a.matrix)
+        scored = pipeline.score_guides(spark.read.parquet(a.guides), readers.index(spark, a.index), a.length, a.mismatches, a.threshold, matrix, drop_duplicates=not a.keep_duplicates, weigh_pam=not a.no_pam_weight)
         scored.write.mode("overwrite").parquet(a.output)
     else:
         least = {k: float(v) for k, v in (x.split("=") for x in a.least)}

@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from seqloom.common import quoted
 from seqloom.functions import sequence as sq
 
 
-def index(sites: DataFrame, spacer: str, contig: str = "contig") -> tuple[DataFrame, DataFrame]:
+def index(sites: DataFrame, spacer: str, contig: str = "contig", pam: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Different site sequences with their number of places (``site``, ``packed``, ``loci``), and the places of each.
 
     A score needs sequence and count alone, so the near-match join runs over
-    different sequences and never over repeated places.
+    different sequences and never over repeated places.  ``pam`` names the
+    column of the motif beside a site; sites are then told apart by the motif
+    too (``pam``), for scores that weigh it.
     """
     rows = sites.where(quoted(spacer).isNotNull())
-    unique = rows.groupBy(quoted(spacer).alias("site")).agg(F.count(F.lit(1)).alias("loci"))
-    places = rows.select(quoted(spacer).alias("site"), quoted(contig).alias("contig"), "offset", "strand")
+    beside = [quoted(pam).alias("pam")] if pam else []
+    unique = rows.groupBy(quoted(spacer).alias("site"), *beside).agg(F.count(F.lit(1)).alias("loci"))
+    places = rows.select(quoted(spacer).alias("site"), *beside, quoted(contig).alias("contig"), "offset", "strand")
     return unique.withColumn("packed", sq.pack(F.col("site"))), places
 
 
@@ -34,25 +40,131 @@ def segments(length: int, parts: int) -> list[tuple[int, int]]:
 
 #: Seeds shorter than this join too many pairs that are not near.
 SEED = 7
+#: Most different guides that every worker gets a table of (8 bytes each); more are joined with the sites by a shuffle.
+TABLED = 1 << 20
+#: Pairs compared at once, and bits of a seed's number in a table.
+PAIRS_AT_ONCE, SEED_BITS = 1 << 21, 20
 
 
-def near_matches(guides: DataFrame, sites: DataFrame, guide: str, site: str, length: int, most: int) -> DataFrame:
-    """Pairs of a guide row and a site row with at most ``most`` different bases: all columns and ``mm``.
+def _choices(length: int, most: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """Segments, and the choices of segments of which near sequences agree in one at least.
 
-    Cut into ``most`` + 1 segments, two such sequences agree in one segment at
-    least, and cut into ``most`` + 2 in two of them, which is taken where one
-    alone would be shorter than ``SEED``: both sides are joined on the number
-    of the choice of segments and their bases, and the distance is computed on
-    packed bases in generated code.  A pair that agrees in several choices is
-    kept at the first, so nothing is repeated and no distinct is needed.  Rows
-    without a pure sequence of that length have no match.  Columns of the two
-    sides must differ in name.
+    Cut into ``most`` + 1 segments, two sequences with at most ``most``
+    different bases agree in one segment at least, and cut into ``most`` + 2 in
+    two of them, which is taken where one alone would be shorter than ``SEED``.
     """
-    if not 0 <= most < length:
-        raise ValueError("the radius must be smaller than the sequence")
     agree = 1 if length // (most + 1) >= SEED else 2
     parts = segments(length, most + agree)
-    choices = list(combinations(range(len(parts)), agree))
+    return parts, list(combinations(range(len(parts)), agree))
+
+
+def near_matches(guides: DataFrame, sites: DataFrame, guide: str, site: str, length: int, most: int, tabled: int = TABLED) -> DataFrame:
+    """Pairs of a guide row and a site row with at most ``most`` different bases: all columns and ``mm``.
+
+    Rows without a pure sequence of that length (at most 31) have no match.
+    Columns of the two sides must differ in name.  The different guides are
+    counted first: up to ``tabled`` of them are sent to every worker, where
+    sites are looked up as they are read and nothing is shuffled but the pairs;
+    more are joined with the sites on common segments.
+    """
+    if not 0 <= most < length <= 31:
+        raise ValueError("the radius must be smaller than the sequence, and that at most 31 bases")
+    named = guides.withColumn(guide, F.upper(quoted(guide))).where(sq.is_dna(quoted(guide), length))
+    keys = named.select(quoted(guide).alias("k")).distinct().limit(tabled + 1).toArrow()
+    if len(keys) > tabled:
+        return _joined(named, sites, guide, site, length, most)
+    pairs = _looked_up(sites.sparkSession.sparkContext.broadcast(keys.column("k").to_pylist()), sites, guide, site, length, most)
+    if len(guides.columns) == 1:  # repeated guides are rows of their own
+        repeats = named.groupBy(quoted(guide).alias("__k")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+        again = pairs.join(repeats, quoted(guide) == F.col("__k"), "left")
+        return again.withColumn("__i", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("__n"), F.lit(1)).cast("int")))).select(quoted(guide), *(quoted(c) for c in sites.columns), "mm")
+    return named.join(pairs.withColumnRenamed(guide, "__k"), quoted(guide) == F.col("__k")).drop("__k")
+
+
+class _Table:
+    """Guides by the numbers of their seeds."""
+
+    def __init__(self, guides: list[str], length: int, most: int):
+        self.parts, self.choices = _choices(length, most)
+        self.length, self.most = length, most
+        self.guides = pa.array(sorted(guides), pa.string())
+        self.packed = self.pack(self.guides)
+        self.masks = [np.uint64(((1 << 2 * n) - 1) << 2 * (length - p - n + 1)) for p, n in self.parts]
+        self.by_seed = []
+        for choice in self.choices:
+            number = self.seed(self.packed, choice)
+            order = np.argsort(number, kind="stable")
+            self.by_seed.append((order, np.searchsorted(number[order], np.arange((1 << SEED_BITS) + 1))))
+
+    def pack(self, texts: pa.Array) -> np.ndarray:
+        """Two bits a base, the first base highest, of pure sequences of the table's length."""
+        codes = np.zeros(256, np.uint64)
+        codes[list(b"CGT")] = 1, 2, 3
+        if not len(texts):
+            return np.empty(0, np.uint64)
+        letters = np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), np.uint8).reshape(len(texts), self.length)
+        out = np.zeros(len(texts), np.uint64)
+        for i in range(self.length):
+            out = (out << np.uint64(2)) | codes[letters[:, i]]
+        return out
+
+    def seed(self, packed: np.ndarray, choice: tuple[int, ...]) -> np.ndarray:
+        """Numbers of ``SEED_BITS`` bits for the bases of a choice of segments: equal bases have equal numbers."""
+        out = np.zeros(len(packed), np.uint64)
+        for i in choice:
+            p, n = self.parts[i]
+            out = (out << np.uint64(2 * n)) | ((packed >> np.uint64(2 * (self.length - p - n + 1))) & np.uint64((1 << 2 * n) - 1))
+        if 2 * sum(self.parts[i][1] for i in choice) > SEED_BITS:
+            out = (out * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SEED_BITS)
+        return out.astype(np.int64)
+
+    def near(self, packed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of pairs: numbers of sites and guides and their distances; each pair once, at the first choice in which it agrees."""
+        for choice, (order, starts) in zip(self.choices, self.by_seed):
+            number = self.seed(packed, choice)
+            first, count = starts[number], starts[number + 1] - starts[number]
+            ends = np.cumsum(count)
+            at = 0
+            while at < len(packed):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+                n = count[at:to]
+                s = np.repeat(np.arange(at, to), n)
+                g = order[np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:to], n)]
+                x = packed[s] ^ self.packed[g]
+                mm = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(sq.LOW_BITS))
+                ok = np.flatnonzero(mm <= self.most)
+                s, g, x, mm = s[ok], g[ok], x[ok], mm[ok]
+                kept = np.ones(len(x), bool)
+                for i in range(choice[-1] + 1):
+                    kept &= ((x & self.masks[i]) == 0) == (i in choice)
+                yield s[kept], g[kept], mm[kept]
+                at = to
+
+
+def _looked_up(keys, sites: DataFrame, guide: str, site: str, length: int, most: int) -> DataFrame:
+    """Columns of the sites, ``guide`` and ``mm`` of all near pairs, found while the sites are read."""
+    rows = sites.withColumn(site, F.upper(quoted(site))).where(sq.is_dna(quoted(site), length))
+    at = rows.columns.index(site)
+    fields = [*rows.schema.fields, T.StructField(guide, T.StringType()), T.StructField("mm", T.IntegerType())]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _Table(keys.value, length, most)
+        for batch in batches:
+            for s, g, mm in table.near(table.pack(batch.column(at))):
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(s)) for c in batch.columns), table.guides.take(pa.array(g)), pa.array(mm.astype(np.int32))], names=[f.name for f in fields])
+
+    return rows.mapInArrow(find, T.StructType(fields))
+
+
+def _joined(guides: DataFrame, sites: DataFrame, guide: str, site: str, length: int, most: int) -> DataFrame:
+    """All near pairs by a join on the number of a choice of segments and their bases.
+
+    The distance is computed on packed bases in generated code.  A pair that
+    agrees in several choices is kept at the first, so nothing is repeated and
+    no distinct is needed.
+    """
+    parts, choices = _choices(length, most)
 
     def seeds(df: DataFrame, column: str, side: str) -> DataFrame:
         c = quoted(column)
@@ -60,7 +172,7 @@ def near_matches(guides: DataFrame, sites: DataFrame, guide: str, site: str, len
         rows = df.where(sq.is_dna(c, length)).withColumn(f"__{side}", sq.pack(F.upper(c)))
         return rows.select("*", F.posexplode(seg).alias(f"__{side}_no", f"__{side}_seg"))
 
-    a, b = seeds(guides.withColumn(guide, F.upper(quoted(guide))), guide, "g"), seeds(sites.withColumn(site, F.upper(quoted(site))), site, "s")
+    a, b = seeds(guides, guide, "g"), seeds(sites.withColumn(site, F.upper(quoted(site))), site, "s")
     pairs = a.join(b, (F.col("__g_no") == F.col("__s_no")) & (F.col("__g_seg") == F.col("__s_seg")))
     pairs = pairs.withColumn("mm", sq.packed_mismatches(F.col("__g"), F.col("__s"))).where(F.col("mm") <= most)
     earlier = {i: [k for k, c in enumerate(choices) if i < c[-1] and i not in c] for i in range(len(parts))}
@@ -71,11 +183,11 @@ def near_matches(guides: DataFrame, sites: DataFrame, guide: str, site: str, len
 def prescreen(guides: DataFrame, sites: DataFrame, guide: str, site: str, length: int, threshold: int, keep: bool = True) -> DataFrame:
     """Guides without (``keep=False``: with) a near match: another site within ``threshold``, or their own at two places or more.
 
-    ``sites`` has one row per different sequence with ``loci``.
+    ``sites`` has rows of different sequences with ``loci``.
     """
-    keys = guides.select(quoted(guide).alias("__own")).distinct()
+    keys = guides.select(F.upper(quoted(guide)).alias("__own")).distinct()
     hits = near_matches(keys, sites.select(quoted(site).alias("__site"), "loci"), "__own", "__site", length, threshold)
-    bad = hits.where((F.col("mm") > 0) | (F.col("loci") > 1)).select("__own").distinct()
+    bad = hits.groupBy("__own").agg(F.max("mm").alias("__far"), F.sum(F.when(F.col("mm") == 0, F.col("loci"))).alias("__n")).where((F.col("__far") > 0) | (F.col("__n") > 1))
     return guides.join(bad, F.upper(quoted(guide)) == F.col("__own"), "left_anti" if keep else "left_semi")
 
 

@@ -17,17 +17,19 @@ def generate_guides(
     contigs: DataFrame, enzyme: motif.Enzyme = motif.PRESETS["spcas9-ngg"], context: tuple[int, int] = (4, 6), cut: tuple[int, int] = (-4, -4), keep: Sequence[DataFrame] = (), discard: Sequence[DataFrame] = (), how: str = "intersect",
     gc: tuple[float, float] = (0, 100), poly_t: bool = False, poly_g: bool = False, restricted: Sequence[str] = (), flanks: tuple[str, str] = ("", ""), least_contig: int = 20, pams: Sequence[str] = (), active_site: bool = False,
 ) -> DataFrame:
-    """Guides of contigs (``contig``, ``sequence``) whose cut site lies in the kept regions and in no discarded one.
+    """Guides of contigs whose cut site lies in the kept regions and in no discarded one.
 
-    Several region tables are intersected or merged (``how``).  ``pams`` are
-    further motifs of the same length.  With ``active_site`` the range of a
-    guide is its cut site, else its protospacer.
+    Contigs come whole (``contig``, ``sequence``) or in overlapping chunks
+    (:func:`seqloom.sources.readers.fasta_chunks`).  Several region tables are
+    intersected or merged (``how``).  ``pams`` are further motifs of the same
+    length.  With ``active_site`` the range of a guide is its cut site, else
+    its protospacer.
     """
-    long_enough = contigs.where(F.length("sequence") >= least_contig)
+    parts, text, placed = _chunked(contigs, least_contig)
     motifs = [enzyme, *(motif.Enzyme(p, enzyme.length, enzyme.five_prime) for p in pams if p != enzyme.pam)]
-    rows = motif.guides(long_enough, "contig", "sequence", motifs[0], context, cut)
+    rows = motif.guides(parts, "contig", text, motifs[0], context, cut, **placed)
     for m in motifs[1:]:
-        rows = rows.unionAll(motif.guides(long_enough, "contig", "sequence", m, context, cut))
+        rows = rows.unionAll(motif.guides(parts, "contig", text, m, context, cut, **placed))
     rows = (rows.distinct() if len(motifs) > 1 else rows).where(sq.keep_guide(F.col("guide"), gc, poly_t, poly_g, restricted, *flanks))
     sited = rows.withColumns({"chrom": F.col("contig"), "s0": F.col("start"), "e0": F.col("stop"), "start": F.col("cut_start"), "end": F.col("cut_stop")})
     if keep:
@@ -39,15 +41,26 @@ def generate_guides(
     return sited.withColumns({"start": F.col("cut_start"), "stop": F.col("cut_stop")}).drop("s0", "e0") if active_site else sited.withColumnsRenamed({"s0": "start", "e0": "stop"})
 
 
+def _chunked(contigs: DataFrame, least: int = 0) -> tuple[DataFrame, str, dict]:
+    """Whole contigs or chunks of them, of contigs with at least so many bases; the column of the bases, and what tells a scan of their places."""
+    if "sequence" in contigs.columns:
+        return contigs.where(F.length("sequence") >= least), "sequence", {}
+    if least > 1:
+        lengths = contigs.groupBy("contig").agg(F.sum("core").alias("__n")).where(F.col("__n") >= least)
+        contigs = contigs.join(lengths, "contig", "left_semi")
+    return contigs, "seq", motif.CHUNKED
+
+
 def index_genome(contigs: DataFrame, enzyme: motif.Enzyme, regions: DataFrame | None = None, window: tuple[int, int] = (20, 20)) -> tuple[DataFrame, DataFrame]:
-    """Different sites and their places; with regions, only places that touch a widened region, in genome coordinates."""
-    found = motif.sites(contigs, "sequence", enzyme, ("contig",))
-    found = found.withColumn("spacer", motif.protospacer(F.col("site"), enzyme))
+    """Different sites (guide sequence and motif beside it) and their places; with regions, only places that touch a widened region, in genome coordinates."""
+    parts, text, placed = _chunked(contigs)
+    found = motif.sites(parts, text, enzyme, ("contig",), **placed)
+    found = found.withColumns({"spacer": motif.protospacer(F.col("site"), enzyme), "pam": motif.motif_of(F.col("site"), enzyme)})
     if regions is not None:
         wide = intervals.union([intervals.widen(regions, *window)])
-        placed = found.withColumns({"chrom": F.col("contig"), "start": F.col("offset").cast("long"), "end": F.col("offset").cast("long") + enzyme.site})
-        found = intervals.range_join(placed, wide, how="semi").drop("chrom", "start", "end")
-    return offtarget.index(found.drop("site"), "spacer")
+        near = found.withColumns({"chrom": F.col("contig"), "start": F.col("offset"), "end": F.col("offset") + enzyme.site})
+        found = intervals.range_join(near, wide, how="semi").drop("chrom", "start", "end")
+    return offtarget.index(found.drop("site"), "spacer", pam="pam")
 
 
 def preprocess_annotation(
@@ -74,16 +87,31 @@ def preprocess_annotation(
     return out
 
 
+def near_hits(guides: DataFrame, sites: DataFrame, matrix: Mapping[tuple[int, str, str], float], length: int = 20, most: int = 3, weigh_pam: bool = True) -> DataFrame:
+    """Different guides (``__guide``) with their near sites: ``site``, ``pam``, ``loci``, ``mm`` and ``cfd``, the product of the matrix's factors and, with ``weigh_pam``, of the weight of the site's motif."""
+    keys = guides.select(F.upper("guide").alias("__guide")).distinct()
+    beside = ["pam"] if "pam" in sites.columns else []
+    hits = offtarget.near_matches(keys, sites.select("site", *beside, "loci"), "__guide", "site", length, most)
+    score = offtarget.pair_score(F.col("__guide"), F.col("site"), matrix, length)
+    return hits.withColumn("cfd", score * offtarget.pam_weight(F.col("pam")) if weigh_pam else score)
+
+
 def score_guides(
     guides: DataFrame, sites: DataFrame | None = None, length: int = 20, most: int = 3, threshold: int | None = 2, matrix: Mapping[tuple[int, str, str], float] | None = None, models_: Mapping[str, tuple[str, str]] | None = None,
-    least: Mapping[str, float] | None = None, drop_duplicates: bool = True, name: str = "index",
+    least: Mapping[str, float] | None = None, drop_duplicates: bool = True, name: str = "index", weigh_pam: bool = True,
 ) -> DataFrame:
     """Guides (``guide``, ``context``) with model scores and their specificity against an index.
 
     ``models_`` maps a score's name to (scorer, weights file); rows must lie
     above (>) every bound of ``least``.  Guides with near matches within
-    ``threshold`` are left out before the full join.
+    ``threshold`` are left out before the full join.  A search needs the factor
+    ``matrix``; ``weigh_pam`` multiplies by the weight of a site's motif, as
+    Cas9 scores do, and needs an index that keeps it.
     """
+    if sites is not None and not matrix:
+        raise ValueError("a search for off-targets needs a matrix of factors")
+    if sites is not None and weigh_pam and "pam" not in sites.columns:
+        raise ValueError("this index has no motifs to weigh")
     if drop_duplicates:
         guides = ranking.unique_only(guides, ["guide"])
     for column, (scorer, weights) in (models_ or {}).items():
@@ -96,12 +124,9 @@ def score_guides(
         return guides
     if threshold is not None and threshold >= 0:
         guides = offtarget.prescreen(guides, sites, "guide", "site", length, threshold)
-    keys = guides.select(F.col("guide").alias("__guide")).distinct()
-    hits = offtarget.near_matches(keys, sites.select(F.col("site").alias("__site"), "loci"), "__guide", "__site", length, most)
-    scored = hits.withColumn("cfd", offtarget.pair_score(F.col("__guide"), F.col("__site"), matrix or {}, length))
-    totals = offtarget.per_guide(scored, ["__guide"], "cfd", most=most)
+    totals = offtarget.per_guide(near_hits(guides, sites, matrix, length, most, weigh_pam), ["__guide"], "cfd", most=most)
     totals = totals.withColumn(f"specificity_{name}", F.bround(offtarget.specificity(F.col("cfd_sum"), F.col("on_count")), 4))
-    return guides.join(totals.select("__guide", f"specificity_{name}", "max_cfd", "on_count", "off_count", "mm_counts"), F.upper("guide") == F.col("__guide"), "left").drop("__guide")
+    return guides.join(totals.select("__guide", f"specificity_{name}", "cfd_sum", "max_cfd", "on_count", "off_count", "mm_counts"), F.upper("guide") == F.col("__guide"), "left").drop("__guide")
 
 
 def rank_guides(

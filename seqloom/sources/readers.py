@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from seqloom.common import quoted
 from seqloom.functions import sequence as sq
@@ -24,8 +24,8 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     """``contig`` (first word of the header) and ``sequence`` in upper case, without white space, whatever its letters.
 
     Records are split in the JVM where a line begins with ``>``; what stands
-    before the first one is ignored.  For contigs too long for one row use the
-    ``fasta`` data source, which makes chunks.
+    before the first one is ignored.  A contig is one row here; genomes are
+    read by :func:`fasta_chunks`.
     """
     rows = spark.read.option("lineSep", "\n>").text(path).where(F.length("value") > 0).withColumn("__file", F.col("_metadata.file_path"))
     # of a file that doesn't begin with a header the first record is what stands before it
@@ -38,63 +38,92 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return kept.select(name.alias("contig"), sequence.alias("sequence"))
 
 
-class FastaSource(DataSource):
-    """Chunks of FASTA files: ``spark.read.format("fasta_chunks").option("chunk", n).option("overlap", m).load(path)``.
-
-    One task per file reads it line by line and holds no more than a chunk, so
-    a contig's length doesn't matter.  Each row has the ``core`` bases from
-    ``chunk_start`` and ``overlap`` more to either side.
+#: Bases per chunk of a genome, and to either side of it.
+CHUNK, OVERLAP = 1 << 18, 100
+_PIECES = "file string, block long, no int, contig string, text string"
+
+
+def _assembled(size: int):
+    """Puts lines together: pieces of ``size`` bases of one contig and one split of a file, ``contig`` named in the first piece after its header."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split: tuple[str, int] | None = None
+        no, name, opened = 0, None, False  # name: of a header whose first piece is not out yet
+        text = bytearray()
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["file", "block", "no", "contig", "text"])
+
+        def taken(last: bool) -> list[tuple]:
+            """Full pieces of what was read, and the rest too if a contig or a split ends."""
+            nonlocal no, name, opened
+            rows, at = [], 0
+            while len(text) - at >= size or (last and (len(text) > at or (opened and not rows))):
+                rows.append((split[0], split[1], no, name, text[at : at + size].decode("ascii", "replace")))
+                no, name, opened, at = no + 1, None, False, at + size
+            del text[:at]
+            return rows
+
+        for batch in batches:
+            rows: list[tuple] = []
+            blocks, files = batch.column(2).to_numpy(zero_copy_only=False), batch.column(1).dictionary_encode()
+            files_at, names = files.indices.to_numpy(zero_copy_only=False), files.dictionary.to_pylist()
+            lines = pa.concat_arrays([batch.column(0).cast(pa.large_string()).cast(pa.large_binary())])
+            offsets = np.frombuffer(lines.buffers()[1], np.int64, len(lines) + 1)
+            data = np.frombuffer(lines.buffers()[2], np.uint8) if offsets[-1] else np.empty(0, np.uint8)
+            first = np.zeros(len(lines), np.uint8)
+            full = offsets[1:] > offsets[:-1]
+            first[full] = data[offsets[:-1][full]]
+            changed = np.ones(len(lines), bool)
+            changed[1:] = (blocks[1:] != blocks[:-1]) | (files_at[1:] != files_at[:-1])
+            stops = np.flatnonzero(changed | (first == ord(">")))
+            for i, to in zip(stops, np.append(stops[1:], len(lines))):
+                here = (names[files_at[i]], int(blocks[i]))
+                if here != split:
+                    rows += taken(True) if split else []
+                    split, no = here, 0
+                body = i
+                if first[i] == ord(">"):
+                    rows += taken(True)
+                    header = lines[i].as_py()[1:].decode("utf-8", "replace").split()
+                    name, opened, body = (header or [""])[0], True, i + 1
+                text += data[offsets[body] : offsets[to]].tobytes().translate(None, b" \t\r\n\f\v").upper()
+                rows += taken(False)
+            if rows:
+                yield out(rows)
+        if split and (rows := taken(True)):
+            yield out(rows)
+
+    return pieces
+
+
+def fasta_chunks(spark: SparkSession, path: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """FASTA files in chunks: ``contig``, ``chunk_no``, ``chunk_start`` (0-based), ``core`` bases, ``seq_start`` and ``seq``, which reaches ``overlap`` bases to either side of the core.
+
+    Lines are read by the splittable text source of any file system Spark knows
+    (packed files as well, which are one split each), so tasks share a contig
+    of any length and none holds more than a chunk.  Each task joins the lines
+    of its split to pieces of at most ``size`` bases; the places of pieces, and
+    what they need of their neighbours, come from a window over a table without
+    the bases.  Names and letters as in :func:`fasta`; an empty contig gives
+    one chunk without bases.  A piece ends where a split ends, so cores differ in length.
+    ``overlap`` must not exceed ``size``, nor a split of a file.
     """
-
-    @classmethod
-    def name(cls) -> str:
-        return "fasta_chunks"
-
-    def schema(self) -> T.StructType:
-        return T.StructType([T.StructField("contig", T.StringType()), T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk_start", T.LongType()), T.StructField("core", T.IntegerType()), T.StructField("seq_start", T.LongType()), T.StructField("seq", T.StringType())])
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _FastaReader(self.options)
-
-
-class _FastaReader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.chunk, self.overlap = options["path"], int(options.get("chunk", 1_000_000)), int(options.get("overlap", 100))
-
-    def partitions(self) -> Sequence[InputPartition]:
-        import glob
-
-        return [InputPartition(p) for p in sorted(glob.glob(self.path)) or [self.path]]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import gzip
-
-        opened = gzip.open if partition.value.endswith(".gz") else open
-        with opened(partition.value, "rt") as lines:
-            contig, text, start, no = None, "", 0, 0  # text holds the bases from start - overlap on
-            for line in lines:
-                if line.startswith(">"):
-                    if contig is not None:
-                        yield from self._rest(contig, text, start, no)
-                    contig, text, start, no = (line[1:].split() or [""])[0], "", 0, 0
-                elif contig is not None:
-                    text += "".join(line.split()).upper()
-                    while len(text) - min(start, self.overlap) >= self.chunk + self.overlap:
-                        left = min(start, self.overlap)
-                        yield contig, no, start, self.chunk, start - left, text[: left + self.chunk + self.overlap]
-                        start, no = start + self.chunk, no + 1
-                        text = text[left + self.chunk - min(start, self.overlap) :]
-            if contig is not None:
-                yield from self._rest(contig, text, start, no)
-
-    def _rest(self, contig: str, text: str, start: int, no: int) -> Iterator[tuple]:
-        left = min(start, self.overlap)
-        while len(text) > left:
-            core = min(self.chunk, len(text) - left)
-            yield contig, no, start, core, start - left, text[: left + core + self.overlap]
-            start, no = start + core, no + 1
-            text = text[left + core - min(start, self.overlap) :]
-            left = min(start, self.overlap)
+    if overlap > size:
+        raise ValueError("an overlap can't be longer than a chunk")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+    pieces = lines.mapInArrow(_assembled(size), _PIECES)
+    order = Window.partitionBy("file").orderBy("block", "no")
+    at = pieces.select("file", "block", "no", "contig", F.length("text").cast("long").alias("n"), F.left("text", F.lit(overlap)).alias("head"), F.right("text", F.lit(overlap)).alias("tail"))
+    at = at.withColumns({"g": F.count("contig").over(order), "contig": F.last("contig", ignorenulls=True).over(order)}).where(F.col("g") > 0)
+    own = Window.partitionBy("file", "g").orderBy("block", "no")
+    near = lambda c, k: F.coalesce(F.lag(c, k).over(own), F.lit(""))
+    at = at.select(
+        "file", "block", "no", F.col("contig").alias("name"), (F.row_number().over(own) - 1).alias("chunk_no"), F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("chunk_start"),
+        F.right(F.concat(near("tail", 2), near("tail", 1)), F.lit(overlap)).alias("before"), F.left(F.concat(near("head", -1), near("head", -2)), F.lit(overlap)).alias("after"),
+    )
+    placed = pieces.drop("contig").join(at, ["file", "block", "no"])
+    return placed.select(F.col("name").alias("contig"), "chunk_no", "chunk_start", F.length("text").alias("core"), (F.col("chunk_start") - F.length("before")).alias("seq_start"), F.concat("before", "text", "after").alias("seq"))
 
 
 def slices(chunks: DataFrame, regions: DataFrame) -> DataFrame:

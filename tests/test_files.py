@@ -1,7 +1,9 @@
 """Readers, writers and the pipeline from files to files."""
 
 import gzip
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from seqloom import __main__ as cli
 from seqloom import pipeline
 from seqloom.functions import models
+from seqloom.functions import sequence as sq
 from seqloom.operators import annotation, motif, offtarget
 from seqloom.sinks import writers
 from seqloom.sources import readers
@@ -39,13 +42,23 @@ def test_fasta_as_rows_and_as_chunks(spark, genome, tmp_path):
         assert {r.contig: r.sequence for r in readers.fasta(spark, path).collect()} == seqs
     junk = write(tmp_path / "j.fa", "no header\nACGT\n>x y\nacg\nt\n>empty\n")
     assert {r.contig: r.sequence for r in readers.fasta(spark, junk).collect()} == {"x": "ACGT", "empty": ""}
-    spark.dataSource.register(readers.FastaSource)
-    for path in (plain, packed):
-        rows = spark.read.format("fasta_chunks").option("chunk", 64).option("overlap", 10).load(path).collect()
-        for n, s in seqs.items():
-            own = sorted((r for r in rows if r.contig == n), key=lambda r: r.chunk_no)
-            assert "".join(r.seq[r.chunk_start - r.seq_start :][: r.core] for r in own) == s
-            assert all(r.seq == s[r.seq_start : r.chunk_start + r.core + 10] for r in own)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for path, block in ((plain, None), (packed, None), (plain, "301"), (plain, "150")):  # one split, and many
+            spark.conf.set("spark.sql.files.maxPartitionBytes", block or old[0])
+            spark.conf.set("spark.sql.files.openCostInBytes", "1" if block else old[1])
+            rows = readers.fasta_chunks(spark, path, 64, 10).collect()
+            for n, s in seqs.items():
+                own = sorted((r for r in rows if r.contig == n), key=lambda r: r.chunk_no)
+                assert "".join(r.seq[r.chunk_start - r.seq_start :][: r.core] for r in own) == s
+                assert all(r.seq == s[r.seq_start : r.chunk_start + r.core + 10] for r in own)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    got = {(r.contig, r.chunk_no, r.seq) for r in readers.fasta_chunks(spark, junk).collect()}
+    assert got == {("x", 0, "ACGT"), ("empty", 0, "")}
+    with pytest.raises(ValueError):
+        readers.fasta_chunks(spark, plain, 10, 20)
 
 
 def test_chunks_and_slices_agree_with_the_sequence(spark, genome):
@@ -80,7 +93,11 @@ def test_sites_against_brute_force(spark, genome, enzyme, fits):
     got = motif.sites(df, "sequence", enzyme, ("contig",)).collect()
     for n, s in seqs.items():
         assert sorted((r.offset, r.strand, r.site) for r in got if r.contig == n) == _sites(s, len(enzyme.pam), enzyme.length, enzyme.five_prime, fits)
+    pieces = readers.fasta_chunks(spark, genome[0], 97, 60)
+    assert sorted(tuple(r) for r in motif.sites(pieces, "seq", enzyme, ("contig",), **motif.CHUNKED).collect()) == sorted(map(tuple, got))
+    assert {(r.offset, r.strand) for r in motif.sites(df, "sequence", enzyme, ("contig",), pure=False).collect() if r.contig == "chrA"} >= {(r.offset, r.strand) for r in got if r.contig == "chrA"}
     guides = motif.guides(df, "contig", "sequence", enzyme).collect()
+    assert sorted(map(tuple, motif.guides(pieces, "contig", "seq", enzyme, **motif.CHUNKED).collect())) == sorted(map(tuple, guides))
     for r in guides:
         s = seqs[r.contig][r.start : r.stop]
         rc = s[::-1].translate(str.maketrans("ACGT", "TGCA"))
@@ -96,9 +113,20 @@ def test_near_matches_against_brute_force(spark):
     guides = spark.createDataFrame([(i, g) for i, g in enumerate(base)], "i int, guide string")
     sites = spark.createDataFrame([(j, s) for j, s in enumerate(mutated)], "j int, site string")
     for m in (0, 2, 4):
-        got = sorted((r.i, r.j, r.mm) for r in offtarget.near_matches(guides, sites, "guide", "site", 20, m).collect())
+        both = [sorted((r.i, r.j, r.mm) for r in offtarget.near_matches(guides, sites, "guide", "site", 20, m, tabled).collect()) for tabled in (offtarget.TABLED, 5)]
         want = sorted((i, j, d) for i, g in enumerate(base) for j, s in enumerate(mutated) if s and len(s) == 20 and set(s) <= set("ACGT") and (d := sum(a != b for a, b in zip(g, s))) <= m)
-        assert got == want
+        assert both == [want, want]
+        again = offtarget.near_matches(guides.select("guide").unionAll(guides.select("guide").limit(1)), sites, "guide", "site", 20, m)
+        assert again.count() == len(want) + sum(w[0] == 0 for w in want)
+
+
+def test_sites_of_odd_sequences(spark):
+    odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "ACGT", "x"), (4, "é" + "acgt" * 5 + "aGG" + "中", "x")], "id int, s string, offset string")
+    got = motif.sites(odd, "s", motif.PRESETS["spcas9-ngg"], ("id",), around=(1, 3)).collect()
+    assert [tuple(r) for r in got] == [(4, 1, "+", "ACGT" * 5 + "AGG", "?" + "ACGT" * 5 + "AGG")]
+    assert motif.sites(odd.limit(0), "s", motif.PRESETS["spcas9-ngg"]).count() == 0
+    whole = motif.chunks(odd, "id", "s", 5, 2).orderBy("contig", "chunk_no").collect()
+    assert [(r.contig, r.chunk_no, r.chunk_start, r.core, r.seq_start, r.seq) for r in whole][:2] == [(3, 0, 0, 4, 0, "ACGT"), (4, 0, 0, 5, 0, "éacgtac")]
 
 
 GTF = """#!comment
@@ -177,8 +205,6 @@ def test_models_by_layers(spark, tmp_path):
     assert np.allclose(got[:5], (h @ w["out_kernel"] + w["out_bias"])[:, 0], atol=1e-5) and got[5:] == [None] * 3
     features = models.composition_features(seqs)
     assert features.shape == (5, 689) and features[0, 0] == pytest.approx(sum(c in "CG" for c in seqs[0]) / 34)
-    from seqloom.functions import sequence as sq
-
     tm = spark.createDataFrame([(s,) for s in seqs], "s string").select(sq.melting_temperature(F.col("s")).alias("t")).collect()
     assert np.allclose([x.t for x in tm], models.melting(seqs))
     trees = {"feature": np.array([[0, -1, -1]]), "threshold": np.array([[0.5, 0, 0]]), "left": np.array([[1, 0, 0]]), "right": np.array([[2, 0, 0]]), "value": np.array([[0, -1.0, 2.0]]), "depth": 2, "start": 0.5, "rate": 0.1}
@@ -203,11 +229,27 @@ def test_pipeline_from_files_to_files(spark, genome, tmp_path):
         assert (50 < r.cut_start + 1 and r.cut_start - 1 < 800 and not (200 < r.cut_start + 1 and r.cut_start - 1 < 260)) if r.contig == "chrA" else r.cut_start - 1 < 400
     cli.main(["index-genome", plain, "-o", str(tmp_path / "i")])
     sites = readers.index(spark, str(tmp_path / "i"))
-    cli.main(["score-guides", str(tmp_path / "g/guides"), "--index", str(tmp_path / "i"), "-o", str(tmp_path / "s"), "--keep-duplicates"])
+    factor = lambda p, g, o: round(0.1 + 0.02 * p + 0.05 * "ACGT".index(g) + 0.03 * "ACGT".index(o), 4)
+    matrix = write(tmp_path / "matrix.csv", "Pos,MM,avg_percent_active\n" + "".join(f"{p},r{g.replace('T', 'U')}:d{o},{factor(p, g, o)}\n" for p in range(1, 21) for g in "ACGT" for o in "ACGT" if g != o))
+    cli.main(["score-guides", str(tmp_path / "g/guides"), "--index", str(tmp_path / "i"), "-o", str(tmp_path / "s"), "--keep-duplicates", "--matrix", matrix])
     scored = spark.read.parquet(str(tmp_path / "s")).collect()
-    all_sites = [(s.site, s.loci) for s in sites.collect()]
+    places = Counter()
+    for s in sites.collect():
+        places[s.site] += s.loci
+    all_sites = list(places.items())
+    with pytest.raises(ValueError):
+        pipeline.score_guides(guides, sites)
     near = {g.guide for g in rows if any((d := sum(a != b for a, b in zip(g.guide, s))) <= 2 and (d > 0 or n > 1) for s, n in all_sites)}
     assert {r.guide for r in scored} == {r.guide for r in rows} - near and all(0 < r.specificity_index <= 1 for r in scored)
+    # the whole score, with the weight of the motif, of guides against sites that were changed in one to four places
+    tails = list(sq.PAM_TAIL) + ["TT"]
+    changed = [(("T" if g.guide[0] != "T" else "A") + g.guide[1 : 10 + k] + "".join("ACGT"["ACGT".index(c) - 1] for c in g.guide[10 + k : 10 + 2 * k]) + g.guide[10 + 2 * k :], "A" + tails[(i + k) % 8], 1 + k) for i, g in enumerate(rows[:20]) for k in range(4)]
+    table = spark.createDataFrame(changed, "site string, pam string, loci long")
+    hits = pipeline.near_hits(spark.createDataFrame(rows[:20]), table, readers.penalty_matrix(spark, matrix), 20, 4).collect()
+    assert {h.mm for h in hits} == {1, 2, 3, 4}
+    for h in hits:
+        product = math.prod(factor(p, a, b) for p, (a, b) in enumerate(zip(h["__guide"], h.site), 1) if a != b)
+        assert h.cfd == pytest.approx(product * sq.PAM_TAIL.get(h.pam[1:], 0.0))
     cli.main(["rank-guides", str(tmp_path / "s"), keep, "-o", str(tmp_path / "r"), "--columns", "specificity_index", "-n", "3", "--spacing", "5"])
     ranked = spark.read.parquet(str(tmp_path / "r")).collect()
     assert {r.target_id for r in ranked} <= {"chrA_50_800", "k", "k2"} and max(r.rank_no for r in ranked) <= 3
