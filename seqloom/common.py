@@ -51,13 +51,20 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints that every executor sees.
 
     Taken from ``spark.checkpoint.dir``; where the session does not set it (as
-    in local tests) a folder below the warehouse directory is used.
+    in local tests) a folder below the warehouse directory is used.  On a
+    cluster that must not be a folder of one machine, which is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = os.path.join(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"), "__checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "__checkpoints")
+        if not context.master.startswith("local") and (folder.startswith("file:") or "://" not in folder):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = folder.removeprefix("file:")
+    if context.getCheckpointDir() is None:
+        # files of a checkpoint go when nothing refers to it any more
+        context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -67,14 +74,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes per core below which an input is moved to be worked on by all cores: the size of Spark's smallest split.
+SPREAD_BYTES = 4 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where it comes from fewer files than there are cores; unchanged otherwise.
+    """``df`` over all cores where it has less than one smallest split per core; unchanged otherwise.
 
-    Small inputs of compressed text are otherwise read and worked on by one
-    task.  An input of many files, as any large one is, isn't moved.
+    Spark reads so small an input in a task or two, whatever is done with each
+    row.  What is moved is bounded by ``SPREAD_BYTES`` a core; an input of any
+    larger size is never shuffled, however few files it has.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
 _shipped: set[str] = set()

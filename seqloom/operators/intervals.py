@@ -48,14 +48,17 @@ def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS, bo
     if how == "inner":
         pairs = _tiled(a.where(known), F.col("__s"), F.col("__e"), tile).join(b, meets & (F.col("__tile") == F.greatest("__first", "__rfirst")))
         return pairs.drop("__s", "__e", "__rs", "__re", "__first", "__rfirst", "__tile", "__rtile")
-    # a row is a row of its own, so rows with equal values are told apart by a number
-    a = a.withColumn("__row", F.monotonically_increasing_id())
-    hit = _tiled(a.where(known), F.col("__s"), F.col("__e"), tile).join(b, meets, "left_semi")
+    # rows within one tile need no more than a semi or anti join; of the others, the tiles' answers are put together by a number per row
+    tile_of = lambda c: F.floor(c / F.lit(tile))
+    short = tile_of(F.col("__s")) == tile_of(F.greatest("__e", F.col("__s") + 1) - 1)
+    columns = [quoted(c) for c in left.columns]
+    one = a.where(known & short).withColumn("__tile", tile_of(F.col("__s"))).join(b, meets, f"left_{how}").select(*columns)
+    many = _tiled(a.where(known & ~short).withColumn("__row", F.monotonically_increasing_id()), F.col("__s"), F.col("__e"), tile)
     if how == "semi":
-        return hit.dropDuplicates(["__row"]).select(*(quoted(c) for c in left.columns))
-    tiled = _tiled(a.where(known), F.col("__s"), F.col("__e"), tile).join(b.withColumn("__hit", F.lit(True)), meets, "left")
-    free = tiled.groupBy("__row", *(quoted(c) for c in left.columns)).agg(F.max("__hit").alias("__hit")).where("__hit is null")
-    return free.select(*(quoted(c) for c in left.columns)).unionAll(a.where(~known).select(*(quoted(c) for c in left.columns)))
+        return one.unionAll(many.join(b, meets, "left_semi").dropDuplicates(["__row"]).select(*columns))
+    # pairs of the few long rows are reduced to one answer per row and tile where they are made, and never shuffled
+    free = many.join(b.withColumn("__hit", F.lit(True)), meets, "left").groupBy("__row", *columns).agg(F.max("__hit").alias("__hit")).where("__hit is null")
+    return one.unionAll(free.select(*columns)).unionAll(a.where(~known).select(*columns))
 
 
 def intersect(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS, bounds: tuple[str, str] = ("start", "end")) -> DataFrame:

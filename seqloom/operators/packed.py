@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqloom.common import SPACE, quoted
+from seqloom.common import SPACE, cut, quoted
 
 #: Candidate delimiters; white space around a sign belongs to it.
 CANDIDATES = (",", ";", "|", "/", " ")
@@ -64,8 +64,9 @@ def infer_delimiters(cells: DataFrame, source: str, cell: str, quotes: str) -> D
     (type regularity), plus half of what the spread of piece counts relative
     to their mean gains (count consistency).  Null and blank cells don't count.
     """
-    # rows with equal shape behave alike: score each shape once, by its weight
+    # rows with equal shape behave alike: score each shape once, by its weight; the few shapes are read twice, the cells once
     shapes = cells.where(quoted(cell).isNotNull()).groupBy(quoted(source).alias("source"), quoted(quotes).alias("__q"), _shape(quoted(cell)).alias("__s")).agg(F.count(F.lit(1)).alias("__w"))
+    shapes = cut(shapes)
 
     def pieces(signs: Sequence[str]) -> Column:
         return F.filter(F.when(F.col("__q"), split_cell(F.col("__s"), signs)).otherwise(split_cell(F.col("__s"), signs, quotes=False)), lambda x: x != "")

@@ -10,15 +10,17 @@ value ranges.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.common import quoted
 
-#: Ranges that the values of one key are cut into for percentiles; bounds the rows of one window.
+#: Most ranges that values are cut into: a window holds about so small a part of a table's rows.
 VALUE_RANGES = 4096
 
 
@@ -55,19 +57,42 @@ def mode(weighted: DataFrame, key: str, value: str, out: str, weight: str = "__w
     return pairs.groupBy(quoted(key)).agg(F.min(known).alias("__m")).select(quoted(key), F.col("__m.v").alias(out))
 
 
-def percentiles(weighted: DataFrame, key: str, value: str, shares: dict[str, float], weight: str = "__weight", ranges: int = VALUE_RANGES) -> DataFrame:
+def value_ranges(values: DataFrame, columns: Sequence[str], rows: int | None = None) -> list[list[float]]:
+    """Bounds of numeric columns between which about equally many rows lie, for :func:`in_range`.
+
+    Found by one pass over the columns, without a shuffle of rows; a row count
+    to aim at per range may be given.  At most ``VALUE_RANGES`` bounds a column
+    come to the driver.
+    """
+    ranges = VALUE_RANGES if rows is None else max(16, min(VALUE_RANGES, rows))
+    return [sorted(set(b)) for b in values.approxQuantile(list(columns), [i / ranges for i in range(ranges + 1)], 0.5 / ranges)]
+
+
+def in_range(df: DataFrame, column: str, bounds: Sequence[float], out: str) -> DataFrame:
+    """``df`` with the number of the range that a value lies in, larger for larger values, as ``out``.
+
+    Every bound is a range of its own, with an odd number, and so are the
+    values between two bounds, with an even one.  A value that many rows have
+    is a bound, so ranges of different values hold few rows, and in the others
+    all rows are alike.  Null and NaN have no range.
+    """
+    steps = sorted({x for b in bounds if math.isfinite(b) for x in (b, math.nextafter(b, math.inf))})
+    splits = [-math.inf, *steps, math.inf] if steps else [-math.inf, 0.0, math.nextafter(0.0, 1.0), math.inf]
+    return Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df).withColumn(out, F.col(out).cast("int"))
+
+
+def percentiles(weighted: DataFrame, key: str, value: str, shares: dict[str, float], weight: str = "__weight", bounds: Sequence[float] | None = None) -> DataFrame:
     """Exact percentiles per key from compressed rows: the smallest value with at least that share of the weight at or below it.
 
     Null and NaN values don't count; a key without any other gives no row.  The
-    values of a key are counted in ``ranges`` equal ranges of all values first;
-    only the ranges that hold a wanted rank are then ordered value by value, so
-    a hot key never comes to one task as a whole.
+    values of a key are counted in ranges that hold about equally many rows of
+    the table (``bounds``, found from the values if not given); only the ranges
+    that hold a wanted rank are then ordered value by value, so a hot key never
+    comes to one task as a whole, whatever the distribution of its values.
     """
     v = quoted(value).cast("double")
     rows = weighted.where(v.isNotNull() & ~F.isnan(v)).groupBy(quoted(key).alias("__k"), v.alias("__v")).agg(F.sum(weight).alias("__w"))
-    low, high = rows.agg(F.min("__v")).scalar(), rows.agg(F.max("__v")).scalar()
-    span = F.when(high > low, high - low).otherwise(F.lit(1.0))
-    rows = rows.withColumn("__r", F.floor((F.col("__v") - low) / span * F.lit(ranges - 1)))
+    rows = in_range(rows, "__v", value_ranges(rows, ["__v"])[0] if bounds is None else bounds, "__r")
     order = Window.partitionBy("__k").orderBy("__r")
     wanted = F.array(*(F.struct(F.lit(n).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("__n") * F.lit(float(q)))).alias("rank")) for n, q in shares.items()))
     ranks = (
@@ -89,16 +114,22 @@ def key_report(df: DataFrame, key: str, sums: dict[str, str], distinct: dict[str
 
     Each argument maps a result's name to the column it is of (``shares`` to
     column and share).  One row per key, also where all values are null; the
-    sum of no value is null.
+    sum of no value is null.  Each column is compressed with the key alone:
+    columns of few values then shuffle next to nothing.
     """
-    used = list(dict.fromkeys([*sums.values(), *distinct.values(), *modes.values(), *(c for c, _ in shares.values())]))
-    weighted = compress(df.where(quoted(key).isNotNull()), [key], used)
-    out = weighted.groupBy(quoted(key)).agg(F.sum("__weight").alias("rows"), *(F.sum(quoted(c) * F.col("__weight")).alias(n) for n, c in sums.items()))
-    parts = [distinct_count(weighted, key, c, n) for n, c in distinct.items()] + [mode(weighted, key, c, n) for n, c in modes.items()]
+    known = df.where(quoted(key).isNotNull())
+    out = known.groupBy(quoted(key)).agg(F.count(F.lit(1)).alias("rows"), *(F.sum(quoted(c)).alias(n) for n, c in sums.items()))
     by_column: dict[str, dict[str, float]] = {}
     for n, (c, q) in shares.items():
         by_column.setdefault(c, {})[n] = q
-    parts += [percentiles(weighted, key, c, q) for c, q in by_column.items()]
-    for part in parts:
-        out = out.join(part, key, "left")
+    numeric = {c: F.when(~F.isnan(quoted(c).cast("double")), quoted(c).cast("double")).alias(f"v{i}") for i, c in enumerate(by_column)}
+    bounds = value_ranges(known.select(*numeric.values()), [f"v{i}" for i in range(len(numeric))]) if numeric else []
+    for i, (c, q) in enumerate(by_column.items()):
+        out = out.join(percentiles(compress(known, [key], [c]), key, c, q, bounds=bounds[i]), key, "left")
+    for c in dict.fromkeys([*distinct.values(), *modes.values()]):
+        weighted = compress(known, [key], [c])
+        for n in (n for n, x in distinct.items() if x == c):
+            out = out.join(distinct_count(weighted, key, c, n), key, "left")
+        for n in (n for n, x in modes.items() if x == c):
+            out = out.join(mode(weighted, key, c, n), key, "left")
     return out

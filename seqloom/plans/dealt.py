@@ -37,7 +37,7 @@ def p1_guides(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({"cfd_sum": F.round("cfd_sum", 4), "cfd2_sum": F.round("cfd2_sum", 4), "usual_mm": F.coalesce("usual_mm", F.lit(-1))})
 
 
-def p1_ids(spark: SparkSession, d: str) -> DataFrame:
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
     """Matches, contigs and specificity of every id of the scan output."""
     rows = table(spark, d, "gscan_output").withColumn("id", tidy(F.col("id")))
     out = skew.key_report(rows, "id", sums={"distance_sum": "match_distance"}, distinct={"contigs": "match_chrm"}, modes={"usual_distance": "match_distance"}, shares={"specificity_median": ("specificity", 0.5)})
@@ -100,7 +100,7 @@ n AS (SELECT *, lead(seg_start) OVER (PARTITION BY region_set, chrom ORDER BY se
 found AS (SELECT region_set, chrom, 'merged' AS kind, seg_start, seg_end FROM n UNION ALL SELECT region_set, chrom, 'gap', seg_end, nxt FROM n WHERE nxt IS NOT NULL)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_guides": p1_guides, "p1_ids": p1_ids, "p4_found": p4_found, "p4_cover": p4_cover, "p5_found": p5_found, "p5_delimiters": p5_delimiters}
+QUERIES = {"p1_found": p1_found, "p1_guides": p1_guides, "p1_matches": p1_matches, "p4_found": p4_found, "p4_cover": p4_cover, "p5_found": p5_found, "p5_delimiters": p5_delimiters}
 
 SQL = {
     "p1_found": f"""
@@ -113,7 +113,7 @@ WITH m AS (SELECT guide_id, mm AS usual_mm FROM (SELECT guide_id, mm, row_number
 SELECT o.guide_id, count(*) AS rows, round(sum(cfd), 4) AS cfd_sum, round(sum(cfd2), 4) AS cfd2_sum, count(DISTINCT chrom) AS chroms, count(DISTINCT mm) AS mms, coalesce(any_value(m.usual_mm), -1) AS usual_mm,
   quantile_disc(cfd, 0.5) AS cfd_median, quantile_disc(cfd, 0.9) AS cfd_p90
 FROM ot_records o LEFT JOIN m ON m.guide_id = o.guide_id WHERE o.guide_id IS NOT NULL GROUP BY o.guide_id""",
-    "p1_ids": f"""
+    "p1_matches": f"""
 WITH g AS (SELECT * REPLACE ({_P1_TIDY} AS id) FROM gscan_output),
 m AS (SELECT id, match_distance AS usual_distance FROM (SELECT id, match_distance, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, match_distance) AS r FROM g WHERE match_distance IS NOT NULL GROUP BY id, match_distance) WHERE r = 1)
 SELECT g.id, count(*) AS rows, sum(match_distance)::BIGINT AS distance_sum, count(DISTINCT match_chrm) AS contigs, coalesce(any_value(m.usual_distance), -1) AS usual_distance, quantile_disc(CASE WHEN NOT isnan(specificity) THEN specificity END, 0.5) AS specificity_median

@@ -63,6 +63,27 @@ def test_periods_over_tile_borders_against_brute_force(spark):
     assert periods.periods_and_gaps(df.limit(0), ["k"]).count() == 0
 
 
+def test_one_hot_tile_and_many_ranges_of_one_start(spark):
+    rows = [("a", i % 7, i % 7 + 1 + i % 50) for i in range(2000)] + [("a", 100 + 2 * i, 101 + 2 * i) for i in range(300)] + [("a", 10, 5000)]
+    got = sorted((r.kind, r.seg_start, r.seg_end) for r in periods.periods_and_gaps(spark.createDataFrame(rows[:-1], "k string, start long, end long"), ["k"], tile=1 << 12).collect())
+    want = _merged([r[1:] for r in rows[:-1]])
+    assert [x[1:] for x in got if x[0] == "merged"] == want and [x[1:] for x in got if x[0] == "gap"] == [(x[1], y[0]) for x, y in zip(want, want[1:])]
+    assert [tuple(r) for r in periods.merge_ranges(spark.createDataFrame(rows, "k string, start long, end long"), ["k"], tile=16).collect()] == [("a", 0, 5000)]
+
+
+def test_ranges_of_odd_distributions(spark):
+    values = [0.0] * 500 + [1e300, -1e300, float("inf"), float("-inf")] + [i / 100 for i in range(200)]
+    df = spark.createDataFrame([("hot", v, "", 1, "") for v in values] + [("n", None, "", 1, ""), ("n", float("nan"), "", 1, "")], REC)
+    bounds = skew.value_ranges(df, ["v"], 64)[0]
+    got = {r.v: r.r for r in skew.in_range(df.where("v is not null and not isnan(v)"), "v", bounds, "r").collect()}
+    ordered = sorted(got)
+    assert all(got[a] <= got[b] for a, b in zip(ordered, ordered[1:])) and got[0.0] % 2 == 1
+    assert max(sum(got[v] == k for v in values) for k in got.values() if k % 2 == 0) <= 30
+    found = skew.percentiles(skew.compress(df, ["key"], ["v"]), "key", "v", {"low": 0.0, "med": 0.5, "p90": 0.9, "top": 1.0}).collect()
+    values.sort()
+    assert [tuple(r) for r in found] == [("hot", values[0], values[len(values) // 2 - 1], values[-(-len(values) * 9 // 10) - 1], values[-1])]
+
+
 def test_chrom_spellings(spark):
     rows = [(x,) for x in ("chrI", "CHR i", " i ", "chr", "", None, "un_k7")]
     got = [r[0] for r in spark.createDataFrame(rows, "c string").select(periods.tidy_chrom(F.col("c"))).collect()]
