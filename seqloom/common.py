@@ -86,7 +86,7 @@ def spread(df: DataFrame) -> DataFrame:
     larger size is never shuffled, however few files it has.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
