@@ -1,9 +1,10 @@
 """Ordering inside groups of which some hold a large part of all rows.
 
 Exact counts tell heavy groups from light ones.  Light groups go through
-ordinary windows.  Rows of heavy groups are cut into ranges of their leading
-score; counts per range say how many rows come before it, so that ranges are
-ordered apart from each other and no heavy group comes to one task.
+ordinary windows.  Rows of heavy groups are cut into ranges of their score that
+hold about equally many rows, with a range of its own for every value that many
+rows share; counts per range say how many rows come before it, so that ranges
+are ordered apart from each other and no heavy group comes to one task.
 """
 
 from __future__ import annotations
@@ -14,35 +15,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows from which a group is heavy; most heavy groups (the largest), which bounds what is broadcast.
-HEAVY_ROWS, MOST_HEAVY = 20_000, 10_000
-#: Ranges of the leading score per heavy group, and parts of a range.
-RANGES, SALTS = 512, 16
+from seqloom.operators import skew
 
+#: Rows from which a group is heavy; most rows of a table of heavy groups or of their ranges that is broadcast, larger ones are joined by a shuffle.
+HEAVY_ROWS, BROADCAST_ROWS = 20_000, 200_000
+#: Rows of a group per salt.
+SALTED_ROWS = 100_000
 
-def heavy_groups(df: DataFrame, group: str, scores: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame | None:
-    """The heavy groups with the bounds of their scores: ``__g``, ``__lo0``, ``__hi0``, ...
 
-    Counted once over all rows; the at most ``MOST_HEAVY`` rows come to the
-    driver, so that plans without heavy groups (None) have no second branch.
+def heavy_groups(df: DataFrame, group: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame | None:
+    """The heavy groups with their rows: ``__g``, ``__rows``, marked for broadcast if they are few enough; None if there are none.
+
+    Counted once over all rows when this is called, so that plans without heavy
+    groups have no second branch.
     """
-    bounds = [f(s).alias(f"__{n}{i}") for i, s in enumerate(scores) for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    counts = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__rows"), *bounds)
-    found = counts.where(F.col("__rows") > heavy_rows).orderBy(F.desc("__rows"), "__g").limit(MOST_HEAVY)
-    few = found.toArrow()
-    return df.sparkSession.createDataFrame(few) if len(few) else None
+    counts = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > heavy_rows)
+    few = counts.limit(BROADCAST_ROWS + 1).toArrow()
+    if len(few) > BROADCAST_ROWS:
+        return counts
+    return F.broadcast(df.sparkSession.createDataFrame(few)) if len(few) else None
 
 
 def split(df: DataFrame, group: str, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of light and of heavy groups, the latter with the bounds; ``heavy`` has a proven size and is broadcast."""
-    small = F.broadcast(heavy)
-    return df.join(small, F.col(group).eqNullSafe(F.col("__g")), "left_anti"), df.join(small, F.col(group).eqNullSafe(F.col("__g")))
+    """Rows of light and of heavy groups, the latter with ``__g`` and ``__rows``."""
+    same = F.col(group).eqNullSafe(F.col("__g"))
+    return df.join(heavy, same, "left_anti"), df.join(heavy, same)
+
+
+def _salt(columns: Sequence[str]) -> Column:
+    """One of as many numbers as a row's group has ``SALTED_ROWS`` rows."""
+    return F.pmod(F.xxhash64(*columns), F.ceil(F.col("__rows") / F.lit(SALTED_ROWS)))
 
 
-def score_range(score: Column, low: Column, high: Column, ranges: int = RANGES) -> Column:
-    """Range number of a score, larger for larger scores."""
-    share = (score - low) / F.when(high > low, high - low).otherwise(F.lit(1.0))
-    return F.coalesce(F.floor(share * F.lit(ranges - 1)), F.lit(-1))
+def _above(ranges: DataFrame, numbers: Sequence[str]) -> list[DataFrame]:
+    """For each column of range numbers ``__h``, ``__hr``, ``__above``: for every range of a heavy group the rows in higher ranges of it; broadcast if few enough."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(n).alias("r")) for i, n in enumerate(numbers)))).alias("__x")
+    higher = Window.partitionBy("__g", "__x.i").orderBy(F.desc("__x.r")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.select("__g", each).groupBy("__g", "__x").agg(F.count(F.lit(1)).alias("__c"))
+    sizes = sizes.select(F.col("__g").alias("__h"), F.col("__x.i").alias("__hi"), F.col("__x.r").alias("__hr"), F.coalesce(F.sum("__c").over(higher), F.lit(0)).alias("__above"))
+    few = sizes.limit(BROADCAST_ROWS + 1).toArrow()
+    small = len(few) <= BROADCAST_ROWS
+    sizes = ranges.sparkSession.createDataFrame(few, sizes.schema) if small else sizes
+    parts = [sizes.where(F.col("__hi") == i).drop("__hi") for i in range(len(numbers))]
+    return [F.broadcast(p) for p in parts] if small else parts
 
 
 def top_n(df: DataFrame, group: str, score: str, ties: Sequence[str], n: int, counted: DataFrame | None = None, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
@@ -51,21 +66,21 @@ def top_n(df: DataFrame, group: str, score: str, ties: Sequence[str], n: int, co
     Ties are ordered by ``ties``, ascending, and then by all other columns, so
     the result doesn't depend on the order of rows.  A null group is a group;
     rows without a score (null) come last.  Groups are told heavy by the rows
-    of ``counted`` (``df``, or a superset that is cheaper to count).
+    of ``counted`` (``df``, or a superset that is cheaper to count and has the
+    same columns ``group`` and ``score``).
     """
     columns = df.columns
     order = [F.desc_nulls_last(score), *(F.asc(t) for t in ties), *(F.asc(c) for c in columns if c not in {group, score, *ties})]
-    heavy = heavy_groups(df if counted is None else counted, group, [score], heavy_rows)
-    light_rows, heavy_rows_ = (df, None) if heavy is None else split(df, group, heavy)
-    ranked = light_rows.withColumn("rank_no", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank_no") <= n)
+    known = df if counted is None else counted
+    heavy = heavy_groups(known, group, heavy_rows)
+    light, hot = (df, None) if heavy is None else split(df, group, heavy)
+    ranked = light.withColumn("rank_no", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank_no") <= n)
     if heavy is None:
         return ranked
-    ranges = heavy_rows_.withColumn("__r", score_range(F.col(score), F.col("__lo0"), F.col("__hi0"))).drop("__lo0", "__hi0", "__rows")
-    # of a heavy group only the ranges that can hold its n best
-    above = Window.partitionBy("__g").orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranges.groupBy("__g", "__r").agg(F.count(F.lit(1)).alias("__c")).withColumn("__above", F.coalesce(F.sum("__c").over(above), F.lit(0)))
-    needed = sizes.where(F.col("__above") < n).groupBy("__g").agg(F.min("__r").alias("__least")).withColumnRenamed("__g", "__h")
-    near = ranges.join(F.broadcast(needed), F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__r") >= F.col("__least"))).withColumn("__salt", F.pmod(F.xxhash64(*columns), F.lit(SALTS)))
+    ranges = skew.in_range(hot.withColumn("__s", F.col(score).cast("double")), "__s", skew.value_ranges(known.select(F.col(score).cast("double").alias("__s")), ["__s"])[0], "__r")
+    ranges = ranges.withColumn("__r", F.coalesce("__r", F.lit(-1)))  # rows without a score
+    # of a heavy group only the ranges that can hold its n best, each in as many parts as the group is large
+    near = ranges.join(_above(ranges, ["__r"])[0], F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__r") == F.col("__hr"))).where(F.col("__above") < n).withColumn("__salt", _salt(columns))
     best = near.withColumn("__k", F.row_number().over(Window.partitionBy("__g", "__r", "__salt").orderBy(*order))).where(F.col("__k") <= n)
     best = best.select(*columns).withColumn("rank_no", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank_no") <= n)
     return ranked.unionAll(best.select(*ranked.columns))
@@ -74,24 +89,23 @@ def top_n(df: DataFrame, group: str, score: str, ties: Sequence[str], n: int, co
 def ranks(df: DataFrame, group: str, scores: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Rows with ``__n``, the rows of their group, and per score ``__rank_i``: 1 + the rows of the group with a higher score.
 
-    Scores must not be null.  ``(group, all columns)`` need not be unique.
+    Scores must be numbers, neither null nor NaN.  ``(group, all columns)`` need not be unique.
     """
     columns = df.columns
-    heavy = heavy_groups(df, group, scores, heavy_rows)
-    light_rows, heavy_part = (df, None) if heavy is None else split(df, group, heavy)
+    heavy = heavy_groups(df, group, heavy_rows)
+    light, hot = (df, None) if heavy is None else split(df, group, heavy)
     own = Window.partitionBy(group)
-    light = light_rows.select(*columns, F.count(F.lit(1)).over(own).alias("__n"), *(F.rank().over(own.orderBy(F.desc(s))).cast("long").alias(f"__rank_{i}") for i, s in enumerate(scores)))
+    ranked = light.select(*columns, F.count(F.lit(1)).over(own).alias("__n"), *(F.rank().over(own.orderBy(F.desc(s))).cast("long").alias(f"__rank_{i}") for i, s in enumerate(scores)))
     if heavy is None:
-        return light
-    # heavy groups: each different value once with its weight, ordered inside ranges
-    values = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(s).alias("v"), F.col(f"__lo{i}").alias("lo"), F.col(f"__hi{i}").alias("hi")) for i, s in enumerate(scores)))).alias("__x")
-    weighted = heavy_part.select("__g", values).groupBy("__g", "__x").agg(F.count(F.lit(1)).alias("__w")).select("__g", F.col("__x.i").alias("__i"), F.col("__x.v").alias("__v"), "__w", score_range(F.col("__x.v"), F.col("__x.lo"), F.col("__x.hi")).alias("__r"))
-    above = Window.partitionBy("__g", "__i").orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = weighted.groupBy("__g", "__i", "__r").agg(F.sum("__w").alias("__c")).select("__g", "__i", "__r", F.coalesce(F.sum("__c").over(above), F.lit(0)).alias("__above"))
-    higher = Window.partitionBy("__g", "__i", "__r").orderBy(F.desc("__v")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = weighted.join(sizes, ["__g", "__i", "__r"]).select("__g", "__i", "__v", (F.col("__above") + F.coalesce(F.sum("__w").over(higher), F.lit(0)) + 1).alias("__rank"))
-    out = heavy_part.select(*columns, F.col("__rows").alias("__n"))
+        return ranked
+    bounds = skew.value_ranges(df, scores)
+    for i, s in enumerate(scores):
+        hot = skew.in_range(hot, s, bounds[i], f"__r{i}")
+    above = _above(hot, [f"__r{i}" for i in range(len(scores))])
+    out = hot
     for i, s in enumerate(scores):
-        of = placed.where(F.col("__i") == i).select(F.col("__g").alias(f"__g{i}"), F.col("__v").alias(f"__v{i}"), F.col("__rank").alias(f"__rank_{i}"))
-        out = out.join(of, F.col(group).eqNullSafe(F.col(f"__g{i}")) & (F.col(s) == F.col(f"__v{i}"))).drop(f"__g{i}", f"__v{i}")
-    return light.unionAll(out.select(*light.columns))
+        r = F.col(f"__r{i}")
+        # rows of one value's own range are all of one rank: they may be anywhere, and are spread
+        apart = Window.partitionBy("__g", f"__r{i}", F.when(r % 2 == 1, _salt(columns)).otherwise(F.lit(0))).orderBy(F.desc(s))
+        out = out.join(above[i], F.col("__g").eqNullSafe(F.col("__h")) & (r == F.col("__hr"))).withColumn(f"__rank_{i}", (F.col("__above") + F.rank().over(apart)).cast("long")).drop("__h", "__hr", "__above")
+    return ranked.unionAll(out.withColumn("__n", F.col("__rows")).select(*ranked.columns))
