@@ -110,17 +110,39 @@ def test_rank_aggregation_against_brute_force(spark):
     assert set(best) == {r[0] for r in ok}
 
 
+def _check_summary(s, ordered):
+    v, low, high, n, error, _ = s
+    assert n == len(ordered)
+    first, last = np.searchsorted(ordered, v, "left") + 1, np.searchsorted(ordered, v, "right")
+    assert (low <= last).all() and (high >= first).all() and (low <= high).all()
+    assert max(np.maximum(r - low, high - r).min() for r in range(1, n, max(1, n // 500))) <= 2 * error * n + 1
+
+
 def test_summaries_keep_their_error_bound():
     rng = np.random.default_rng(3)
     values = np.concatenate([rng.normal(size=30_000), np.ones(9_000), rng.integers(0, 5, 5_000)])
     rng.shuffle(values)
     parts = [sketch.summarise(x, 100) for x in np.array_split(values, 37)]
-    v, low, high, n, error = sketch.merge_all([sketch.merge_all(parts[:20], 100), sketch.merge_all(parts[20:], 100)], 100)
-    assert n == len(values) and len(v) <= 101 and error <= 0.0151
-    ordered = np.sort(values)
-    first, last = np.searchsorted(ordered, v, "left") + 1, np.searchsorted(ordered, v, "right")
-    assert (low <= last).all() and (high >= first).all() and (low <= high).all()
-    assert max(min(max(r - a, b - r) for a, b in zip(low, high)) for r in range(1, n, 97)) <= 2 * error * n
+    s = sketch.merge_all([sketch.merge_all(parts[:20], 100), sketch.merge_all(parts[20:], 100)], 100)
+    assert s[5] == 2 and len(s[0]) <= 901 and s[4] <= sketch.error_bound(100)
+    _check_summary(s, np.sort(values))
+
+
+def test_many_blocks_of_one_partition_keep_the_bound():
+    rng = np.random.default_rng(4)
+    state, values = sketch.Building(100, buffer=200), []
+    for i in range(1500):  # folded through three levels
+        x = rng.normal(size=300) + i / 100
+        values.append(x)
+        state.add(("g", "m"), x)
+        assert state.held < 150_000
+    ((key, s),) = state.taken()
+    assert key == ("g", "m") and s[5] >= 2 and s[4] <= sketch.error_bound(100) and state.held == 0
+    _check_summary(s, np.sort(np.concatenate(values)))
+    levels = sketch.Levels(50, 4)
+    for _ in range(1000):
+        levels.add(sketch.summarise(rng.random(100), 50))
+    assert max(map(len, levels.of.values())) < 4 and levels.one()[4] <= sketch.error_bound(50)
 
 
 def test_percentiles_over_partitions(spark):
@@ -134,6 +156,14 @@ def test_percentiles_over_partitions(spark):
         rank = sum(v <= r.value for v in values)
         assert r.n == len(values) and abs(rank - q / 100 * len(values)) <= r.error * len(values) + 1 and r.error <= 0.05
     assert sketch.combine(sketch.summaries(df.limit(0), "g", ["m"]), "g").count() == 0
+    # a task that may hold next to nothing gives away many summaries
+    many = spark.createDataFrame([(f"g{i % 300}", float(i), "x") for i in range(6000)], "g string, m double, n string")
+    pieces = sketch.summaries(many, "g", ["m"], held=100).cache()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    assert pieces.count() > 2000
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = sketch.quantiles(sketch.combine(pieces, "g"), "g", {50: 0.5}).collect()
+    assert {(r.g, r.value, r.n) for r in found} == {(f"g{i}", float(i + 300 * 9), 20) for i in range(300)}
 
 
 def test_disguised_words():
