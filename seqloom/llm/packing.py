@@ -20,8 +20,8 @@ from seqloom.common import cut, quoted
 
 #: Sizes per class of the fitted histogram as a share of the capacity, items per enumerated pattern, steps of the fit.
 CLASSES, PATTERN_ITEMS, FIT_STEPS = 256, 3, 400
-#: Parts that the items of one size are numbered in.
-SALTS = 256
+#: Items of one size that are numbered in one part.
+NUMBERED = 50_000
 
 
 def patterns(classes: int = CLASSES, items: int = PATTERN_ITEMS) -> np.ndarray:
@@ -131,10 +131,13 @@ def pack(df: DataFrame, item: str, size: Column, capacity: int) -> DataFrame:
     cap = F.lit(capacity).cast("long")
     sized = df.select(quoted(item).alias("__id"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("__n"))
     pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("__n") - 1) / cap), F.lit(0)))
-    items = sized.select("__id", "__n", F.explode(pieces).alias("__piece")).withColumn("__size", F.least(cap, F.col("__n") - F.col("__piece") * cap))
-    items = cut(items.withColumn("__salt", F.pmod(F.xxhash64("__id", "__piece"), F.lit(SALTS))))
+    items = cut(sized.select("__id", "__n", F.explode(pieces).alias("__piece")).withColumn("__size", F.least(cap, F.col("__n") - F.col("__piece") * cap)))
+    histogram = {r["__size"]: r["n"] for r in items.groupBy("__size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity + 1 rows
+    # a size that many items share, as the full pieces of large items do, is numbered in as many parts as it needs
+    crowded = {s: -(-n // NUMBERED) for s, n in histogram.items() if n > NUMBERED}
+    salts = F.coalesce(F.element_at(F.create_map(*(F.lit(x).cast("long") for kv in crowded.items() for x in kv)), F.col("__size")), F.lit(1).cast("long")) if crowded else F.lit(1).cast("long")
+    items = items.withColumn("__salt", F.pmod(F.xxhash64("__id", "__piece"), salts))
     cells = items.groupBy("__size", "__salt").agg(F.count(F.lit(1)).alias("__c"))
-    histogram = {r["__size"]: r["n"] for r in cells.groupBy("__size").agg(F.sum("__c").alias("n")).collect()}  # at most capacity + 1 rows
     # per size the numbers from which runs of containers take their items
     first: dict[int, list[int]] = {}
     firsts: dict[int, list[tuple[int, int]]] = {}
@@ -159,14 +162,27 @@ def pack(df: DataFrame, item: str, size: Column, capacity: int) -> DataFrame:
                 out[at] = runs[k, 1] + (numbers[at] - starts[k]) // runs[k, 0]
         return pa.array(out.astype(np.int64))
 
-    salts = Window.partitionBy("__size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select("__size", "__salt", F.coalesce(F.sum("__c").over(salts), F.lit(0)).alias("__before"))
+    parts = Window.partitionBy("__size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select("__size", "__salt", F.coalesce(F.sum("__c").over(parts), F.lit(0)).alias("__before"))
     number = F.row_number().over(Window.partitionBy("__size", "__salt").orderBy("__id", "__piece")) - 1
     numbered = items.withColumn("__r", number).join(offsets, ["__size", "__salt"])
     placed = numbered.withColumn("container", container(F.col("__size"), F.col("__r") + F.col("__before")))
     return placed.select(F.col("__id").alias(item), F.col("__piece").cast("int").alias("piece"), F.col("__size").alias("size"), "container", (F.col("__n") > cap).alias("oversize"))
 
 
+def split_items(packed: DataFrame, item: str, capacity: int) -> DataFrame:
+    """Items that were put into more than one container, as they exceed one: column ``item`` and ``pieces``.
+
+    That no container holds more than ``capacity`` is checked first, and an
+    error where rows are read otherwise.
+    """
+    fullest = containers(packed).agg(F.max("used")).scalar()
+    whole = F.coalesce(fullest <= capacity, F.lit(True))
+    pieces = packed.groupBy(quoted(item)).agg(F.count(F.lit(1)).alias("pieces"), F.max("oversize").alias("__o"))
+    kept = pieces.where((F.col("pieces") > 1) & F.col("__o")).where(F.assert_true(whole, F.lit("a container holds too much")).isNull())
+    return kept.select(quoted(item), "pieces")
+
+
 def containers(packed: DataFrame) -> DataFrame:
     """Items and used space of every container."""
     return packed.groupBy("container").agg(F.count(F.lit(1)).alias("items"), F.sum("size").alias("used"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.common import latest, quoted, spread, table, tidy
+from seqloom.common import cut, latest, quoted, spread, table, tidy
 from seqloom.llm import abuse, aggregation, bpe, hotcold, packing, sketch
 
 PERCENTILES = ["deepcpf1_score_pct", "enpam_gb_score_pct", "TTTV_enCas12a_aggregated_score_pct"]
@@ -77,7 +77,8 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).where(F.col("oversize") & (F.col("piece") == 0)).select("doc_id")
+    """Documents that the packing had to split over containers, none of which is overfull."""
+    return packing.split_items(cut(_packed(spark, d)), "doc_id", CAPACITY).select("doc_id")
 
 
 def p8_placed(spark: SparkSession, d: str) -> DataFrame:

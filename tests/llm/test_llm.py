@@ -60,6 +60,18 @@ def test_packing_splits_nothing_and_fills(spark):
     again = packing.pack(df.orderBy(F.desc("id")), "id", F.col("n"), 100).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
     assert packing.pack(df.limit(0), "id", F.col("n"), 100).count() == 0
+    assert {(r.id, r.pieces) for r in packing.split_items(packing.pack(df, "id", F.col("n"), 100), "id", 100).collect()} == {(i, -(-n // 100)) for i, n in sizes.items() if (n or 0) > 100}
+    assert packing.split_items(packing.pack(df.limit(0), "id", F.col("n"), 100), "id", 100).count() == 0
+    with pytest.raises(Exception, match="holds too much"):
+        packing.split_items(packing.pack(df, "id", F.col("n"), 100), "id", 99).collect()
+
+
+def test_packing_numbers_crowded_sizes_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "NUMBERED", 40)
+    sizes = {i: (50 if i % 3 else 1000) for i in range(400)}
+    df = spark.createDataFrame(list(sizes.items()), "id long, n long")
+    used = _check_packed(packing.pack(df, "id", F.col("n"), 100).collect(), sizes, 100)
+    assert len(used) == -(-sum(sizes.values()) // 100)
 
 
 def test_fit_is_non_negative_and_close():
