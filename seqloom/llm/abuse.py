@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.common import quoted
+from seqloom.common import cut, quoted
 from seqloom.llm.words import plain, words_of
 
-#: Most reviewed texts that the model is fitted on (those with the smallest hashes of their ids, if there are more).
-FIT_TEXTS = 20_000
+#: Most reviewed texts that the model is fitted on (those with the smallest hashes of their ids, if there are more), and most n-grams of them that it knows (those of most texts): what comes to the driver.
+FIT_TEXTS, FIT_GRAMS = 20_000, 1 << 20
 #: Least n-gram length 2 and 3 counts; prior weights by n-gram length; prior odds share and weight of a listed term.
-LEAST_COUNT, PRIOR, TERM_SHARE, TERM_WEIGHT = 2, (1.0, 1.5, 1.5), 0.9, 3.0
+LEAST_COUNT, PRIOR, TERM_SHARE, TERM_WEIGHT = 2, (1.0, 1.5, 1.5), 0.97, 3.0
 #: Cost per word, bounds of an n-gram's log-odds, score of a word never seen.
 COST, LOW, HIGH, UNSEEN = 1.7, -2.5, 4.0, -1.0
 #: Probability of a clean text's best passage below which a passage is reported: one clean text in 10,000, as abusive ones are a few in 100.
@@ -42,7 +42,7 @@ TERMS = (
     "idiot moron imbecile retard retarded cretin scum scumbag vermin filth filthy parasite parasites cockroach cockroaches savages degenerate degenerates "
     "bitch bastard asshole arsehole shit shitty shithead dipshit dumbass jackass wanker twat cunt prick dick cock pussy tits boobs ass slut sluts whore "
     "horny nude nudes naked porn blowjob fuck fucking fucked fucker fuckwit rape raped stab stabbed strangle strangled hang hanged pathetic worthless "
-    "disgusting stupid dumb braindead brainless spineless gutless useless vile contemptible loser clown halfwit dunce liars thieves hate hates breed you your "
+    "disgusting stupid dumb braindead brainless spineless gutless useless vile contemptible loser halfwit hate hates "
     "idiota imbécil mierda puta basura cabrón gilipollas mueras arschloch schlampe fresse vollidiot idiotin hure wichser connard salope ordure crève gueule pute "
     "идиот дебил сука убей мразь тварь 白痴 傻逼 去死吧 你这个白痴 滚"
 ).split()
@@ -226,46 +226,61 @@ def maximal_passages(scores: list[float]) -> list[tuple[float, int, int]]:
     return [(b - a, int(i), int(j)) for i, j, a, b in stack]
 
 
-def _counts(keys: np.ndarray, texts: np.ndarray, abusive: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different keys held by at least ``least`` texts, with the abusive and the clean texts that hold them."""
-    order = np.lexsort((texts, keys))
-    keys, texts = keys[order], texts[order]
-    once = np.ones(len(keys), bool)
-    once[1:] = (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])
-    keys, bad = keys[once], abusive[texts[once]]
-    found, at = np.unique(keys, return_index=True)
-    if not len(found):
-        return found, np.empty(0), np.empty(0)
-    n = np.diff(np.append(at, len(keys)))
-    pos = np.add.reduceat(bad.astype(float), at)
-    kept = n >= least
-    return found[kept], pos[kept], (n - pos)[kept]
-
-
-def _counted(words: np.ndarray, starts: np.ndarray, abusive: np.ndarray, vocabulary: dict[str, int]) -> Model:
-    size, texts = max(vocabulary.values(), default=0) + 1, np.repeat(np.arange(len(abusive)), np.diff(starts))
-    weight = max(abusive.sum(), 1) / max((~abusive).sum(), 1)  # both classes as if of one size
-    listed = {plain(t) for t in TERMS}
+@dataclass
+class Counts:
+    """Reviewed texts of either verdict, and how many of them hold each n-gram (words with blanks between)."""
+
+    grams: list[str]
+    abusive: np.ndarray
+    clean: np.ndarray
+    texts: tuple[int, int]
+
+
+def counted(counts: Counts) -> Model:
+    """Scores of all n-grams from their counts."""
+    grams, bad_all, good_all = counts.grams, counts.abusive.astype(float), counts.clean.astype(float)
+    weight = max(counts.texts[0], 1) / max(counts.texts[1], 1)  # both classes as if of one size
+    length = np.fromiter((g.count(" ") + 1 for g in grams), np.int64, len(grams))
+    vocabulary = {SEPARATOR: 1}
+    for w in [*(plain(t) for t in TERMS), *(g for g, n in zip(grams, length) if n == 1)]:
+        vocabulary.setdefault(w, len(vocabulary) + 1)
+    size = len(vocabulary) + 1
     share, prior = np.full(size, 0.5), np.full(size, PRIOR[0])
-    for term in listed & vocabulary.keys():
+    for term in {plain(t) for t in TERMS}:
         share[vocabulary[term]], prior[vocabulary[term]] = TERM_SHARE, TERM_WEIGHT
-    seen, bad, good = _counts(words.astype(np.int64), texts, abusive, 1)
     x, y = np.zeros(size), np.zeros(size)
-    x[seen], y[seen] = bad, good * weight
+    at = np.flatnonzero(length == 1)
+    number = np.fromiter((vocabulary[grams[i]] for i in at), np.int64, len(at))
+    x[number], y[number] = bad_all[at], good_all[at] * weight
     odds = lambda p: np.log(p / (1 - p))
     clipped = lambda o: np.clip(o, LOW, HIGH) - COST
     first = odds((x + prior * share) / (x + y + prior))
     one = clipped(first)
     one[(x + y == 0) & (share == 0.5)] = UNSEEN
     one[0] = UNSEEN
-    same = texts[1:] == texts[:-1]
-    pair_at = words[:-1].astype(np.int64) * size + words[1:]
-    pairs, bad, good = _counts(pair_at[same], texts[1:][same], abusive, LEAST_COUNT)
+
+    def keyed(n: int, key) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the n-grams of one length whose parts are known, in order, with their counts."""
+        own = np.flatnonzero((length == n) & (bad_all + good_all >= LEAST_COUNT))
+        keys = np.fromiter((key(grams[i].split(" ")) for i in own), np.int64, len(own))
+        own, keys = own[keys >= 0], keys[keys >= 0]
+        order = np.argsort(keys)
+        return keys[order], bad_all[own][order], good_all[own][order]
+
+    def pair(w: list[str]) -> int:
+        a, b = vocabulary.get(w[0], -1), vocabulary.get(w[1], -1)
+        return a * size + b if a >= 0 and b >= 0 else -1
+
+    pairs, bad, good = keyed(2, pair)
     part = 1 / (1 + np.exp(-(first[pairs // size] + first[pairs % size]) / 2))
     second = odds((bad + PRIOR[1] * part) / (bad + good * weight + PRIOR[1]))
-    number = np.where(same, _find(pairs, pair_at), -1)
-    ok = (number[:-1] >= 0) & (number[1:] >= 0)
-    triples, bad, good = _counts((number[:-1] * size + words[2:])[ok], texts[2:][ok], abusive, LEAST_COUNT)
+    index = {int(k): i for i, k in enumerate(pairs)}
+
+    def triple(w: list[str]) -> int:
+        head, tail = index.get(pair(w[:2]), -1), pair(w[1:])
+        return head * size + tail % size if head >= 0 and tail in index else -1
+
+    triples, bad, good = keyed(3, triple)
     head, tail = triples // size, triples % size
     rest = _find(pairs, pairs[head] % size * size + tail) if len(triples) else head
     part = 1 / (1 + np.exp(-(second[head] + second[rest]) / 2))
@@ -273,41 +288,14 @@ def _counted(words: np.ndarray, starts: np.ndarray, abusive: np.ndarray, vocabul
     return Model(vocabulary, one, pairs, clipped(second), triples, clipped(third))
 
 
-def _subset(words: np.ndarray, starts: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    parts = [words[starts[i] : starts[i + 1]] for i in texts]
-    return (np.concatenate(parts) if parts else words[:0]), np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)
-
-
-def fit(texts: list[str], abusive: list[bool]) -> Model:
-    """The model of reviewed texts; without any it knows the listed terms alone."""
-    reader = Reader()
-    for t in TERMS:
-        reader.numbers.setdefault(plain(t), len(reader.numbers) + 1)
-    words, starts = reader.read(pa.array(texts, pa.string()))
-    seen: set[tuple[bytes, bool]] = set()  # copies count once
-    kept = []
-    for i, bad in enumerate(abusive):
-        key = (words[starts[i] : starts[i + 1]].tobytes(), bool(bad))
-        if key not in seen and starts[i + 1] > starts[i]:
-            seen.add(key)
-            kept.append(i)
-    verdicts = np.array([bool(abusive[i]) for i in kept], bool)
-    words, starts = _subset(words, starts, np.array(kept, np.int64))
-    model = _counted(words, starts, verdicts, reader.numbers)
-    best, lengths = [np.empty(0)], [np.empty(0)]
-    for half in (0, 1):
-        own, other = np.flatnonzero(np.arange(len(kept)) % 2 == half), np.flatnonzero((np.arange(len(kept)) % 2 != half) & ~verdicts)
-        part = _counted(*_subset(words, starts, own), verdicts[own], reader.numbers)
-        w, s = _subset(words, starts, other)
-        best.append(best_passages(part.scores(w, s), s))
-        lengths.append(np.diff(s))
-    best_, lengths_ = np.concatenate(best), np.concatenate(lengths)
-    if len(best_) >= 20:
-        low, high = np.quantile(best_, FIT_AT)
+def calibrated(model: Model, best: np.ndarray, words: np.ndarray) -> Model:
+    """The model with the distribution of clean texts' best passages, from texts that it wasn't counted on and their lengths."""
+    if len(best) >= 20:
+        low, high = np.quantile(best, FIT_AT)
         spread = np.log(-np.log(FIT_AT[0])) - np.log(-np.log(FIT_AT[1]))
         model.scale = max(0.3, float((high - low) / spread))
         model.location = float(high + model.scale * np.log(-np.log(FIT_AT[1])))
-        model.words = max(1.0, float(lengths_.mean()))
+        model.words = max(1.0, float(words.mean()))
     return model
 
 
@@ -319,10 +307,66 @@ def reviewed(documents: DataFrame, labels: DataFrame, item: str, text: str, verd
     return texts.join(F.broadcast(sample), F.col("__key") == F.col("__id")).select(F.col("__id").alias("id"), "text", (F.col("__v") > 0.5).alias("abusive")).where(F.col("text").isNotNull())
 
 
+def _worded(texts: DataFrame) -> DataFrame:
+    """Reviewed texts as ``words``, each different one once per verdict, with ``half``, 0 or 1."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for batch in batches:
+            words, starts = reader.read(batch.column(0))
+            names = pa.array([None, *reader.numbers], pa.string())  # numbers are given in order
+            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), names.take(pa.array(words)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), lists], names=["abusive", "words"])
+
+    rows = texts.select("text", "abusive").mapInArrow(read, "abusive boolean, words array<string>").where(F.size("words") > 0)
+    return rows.withColumn("__h", F.xxhash64("words")).dropDuplicates(["__h", "abusive"]).withColumn("half", F.pmod(F.col("__h"), F.lit(2)).cast("int")).drop("__h")
+
+
+def _best_of(texts: DataFrame, models: list[Model]) -> DataFrame:
+    """Best passage and number of words of every text, by the model of the other half."""
+    known = _broadcast(models)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            halves = batch.column(0).to_numpy(zero_copy_only=False)
+            best, count = np.zeros(len(halves)), np.zeros(len(halves), np.int64)
+            for i, (half, own) in enumerate(zip(halves, batch.column(1))):
+                model = known.value[1 - half]
+                words = np.fromiter((model.vocabulary.get(w, 0) for w in own.as_py()), np.int64, len(own))
+                starts = np.array([0, len(words)])
+                best[i], count[i] = best_passages(model.scores(words, starts), starts)[0], len(words)
+            yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(count)], names=["best", "words"])
+
+    return texts.select("half", "words").mapInArrow(score, "best double, words long")
+
+
 def train(documents: DataFrame, labels: DataFrame, item: str, text: str, verdict: str, limit: int = FIT_TEXTS) -> Model:
-    """The model of a bounded number of reviewed texts, fitted on the driver."""
-    rows = sorted(reviewed(documents, labels, item, text, verdict, limit).collect(), key=lambda r: r["id"])
-    return fit([r["text"] for r in rows], [r["abusive"] for r in rows])
+    """The model of a bounded number of reviewed texts; without any it knows the listed terms alone.
+
+    Texts are read and n-grams counted by the executors; counts of at most
+    ``FIT_GRAMS`` n-grams and one number per clean text come to the driver.
+    Clean texts are scored by a model of the other half of the reviews.
+    """
+    texts = cut(_worded(reviewed(documents, labels, item, text, verdict, limit)))
+    sizes = {(r["half"], r["abusive"]): r["n"] for r in texts.groupBy("half", "abusive").agg(F.count(F.lit(1)).alias("n")).collect()}
+    w = F.col("words")
+    of = lambda n: F.transform(F.filter(w, lambda x, i: i < F.size(w) - (n - 1)), lambda x, i: F.concat_ws(" ", x, *(F.get(w, i + k) for k in range(1, n))))
+    grams = texts.select("half", "abusive", F.explode(F.array_distinct(F.concat(w, of(2), of(3)))).alias("gram"))
+    cell = lambda half, bad: F.count_if((F.col("half") == half) & (F.col("abusive") == bad)).cast("int").alias(f"c{half}{int(bad)}")
+    counts = grams.groupBy("gram").agg(*(cell(h, b) for h in (0, 1) for b in (True, False)), F.count(F.lit(1)).alias("n")).where((F.col("n") >= LEAST_COUNT) | ~F.contains("gram", F.lit(" ")))
+    found = counts.orderBy(F.desc("n"), "gram").limit(FIT_GRAMS).toArrow().sort_by("gram")
+    names, column = found.column("gram").to_pylist(), lambda h, b: found.column(f"c{h}{int(b)}").to_numpy()
+
+    def of_halves(*halves: int) -> Model:
+        bad, good = (sum(column(h, b) for h in halves) for b in (True, False))
+        seen = np.flatnonzero(bad + good)
+        return counted(Counts([names[i] for i in seen], bad[seen], good[seen], tuple(sum(sizes.get((h, b), 0) for h in halves) for b in (True, False))))
+
+    model = of_halves(0, 1)
+    if sum(n for (_, bad), n in sizes.items() if not bad):
+        held = _best_of(texts.where(~F.col("abusive")), [of_halves(0), of_halves(1)]).toArrow()
+        calibrated(model, held.column("best").to_numpy(), held.column("words").to_numpy())
+    return model
 
 
 _readers: dict[int, Reader] = {}
@@ -364,7 +408,7 @@ def passage_scores(text: Column, model: Model, significance: float = SIGNIFICANC
     return score(text)
 
 
-def _broadcast(model: Model):
+def _broadcast(model):
     from pyspark.sql import SparkSession
 
     return SparkSession.active().sparkContext.broadcast(model)

@@ -23,7 +23,11 @@ _LATIN = re.compile("[a-z]")
 
 @lru_cache(1 << 16)
 def plain(word: str) -> str:
-    """One word in lower case without accents, look-alikes, digits for letters and repeated letters."""
+    """One word in lower case without accents, look-alikes, digits for letters and repeated letters.
+
+    Of a run of one letter one is left, or two where the word would have fewer
+    than three letters, which are words of their own ("ass" and "as").
+    """
     if word.isascii():
         word = word.lower()
     else:
@@ -34,7 +38,8 @@ def plain(word: str) -> str:
         word = word.translate(LEET)
     elif word.isdigit():
         return "9"
-    return _RUN.sub(r"\1", word)
+    once = _RUN.sub(r"\1", word)
+    return once if len(once) > 2 else _RUN.sub(r"\1\1", word)
 
 
 def words_of(token: str) -> list[str]:

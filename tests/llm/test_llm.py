@@ -181,6 +181,7 @@ def test_percentiles_over_partitions(spark):
 def test_disguised_words():
     assert words_of("pu55y") == words_of("PUSSY") == words_of("pus​sssy")
     assert words_of("brаindеad") == ["braindead"] and words_of("s_____s") == [MASKED] and words_of("d*e") == [MASKED]
+    assert words_of("as") == ["as"] and words_of("ass") == words_of("ASSSS") == words_of("a55") == ["ass"] and words_of("stuuupid") == words_of("stupid")
     assert words_of("p.a.t.h.e.t.i.c") == ["pathetic"] and words_of("goodTeam_hasNo9") == ["god", "team", "has", "no9"] and words_of("123") == ["9"]
 
 
