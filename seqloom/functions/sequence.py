@@ -36,6 +36,14 @@ def expand_motif(motif: str) -> list[str]:
     return ["".join(x) for x in product(*(IUPAC[c] for c in motif.upper()))]
 
 
+def expanded(motif: Column) -> Column:
+    """All concrete sequences of a column of IUPAC motifs as an array; other letters are left out, null gives null."""
+    codes = F.create_map(*(F.lit(x) for k, v in IUPAC.items() for x in (k, v)))
+    letters = F.filter(F.split(F.upper(motif), ""), lambda c: F.map_contains_key(codes, c))
+    more = lambda made, c: F.flatten(F.transform(made, lambda m: F.transform(F.split(F.element_at(codes, c), ""), lambda b: F.concat(m, b))))
+    return F.aggregate(letters, F.array(F.lit("")), more)
+
+
 def motif_pattern(motif: str) -> str:
     """Regular expression of an IUPAC motif."""
     return "".join(c if len(IUPAC[c]) == 1 else f"[{IUPAC[c]}]" for c in motif.upper())

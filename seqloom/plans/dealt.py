@@ -83,10 +83,14 @@ _QUOTED = r"""'"([^"]*)"|''([^'']*)''|(<[^>]*>)'"""
 _PLAIN = r"'()()(<[^>]*>)'"
 
 
+def split_sql(field: str, quotes: bool = True) -> str:
+    """SQL for the list of values of a cell in any notation, empty ones included."""
+    cell = _TRIM.format(x=f'"{field}"' if quotes else f"""regexp_replace("{field}", '["'']', '', 'g')""")
+    return _P5_SPLIT.format(cell=cell, kept=_QUOTED if quotes else _PLAIN)
+
+
 def _p5_part(name: str, key: str, field: str) -> str:
-    plain = field == "mismatch_counts"
-    cell = _TRIM.format(x=f"""regexp_replace("{field}", '["'']', '', 'g')""" if plain else f'"{field}"')
-    return f"""SELECT '{name}' AS tbl, "{key}" AS row_key, '{field}' AS field, {_P5_SPLIT.format(cell=cell, kept=_PLAIN if plain else _QUOTED)} AS a FROM {name} WHERE "{field}" IS NOT NULL"""
+    return f"""SELECT '{name}' AS tbl, "{key}" AS row_key, '{field}' AS field, {split_sql(field, field != "mismatch_counts")} AS a FROM {name} WHERE "{field}" IS NOT NULL"""
 
 
 _P5_ROWS = " UNION ALL ".join(_p5_part(n, k, f) for n, (k, fs) in LISTS.items() for f in fs)

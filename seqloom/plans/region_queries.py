@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.common import latest, table, tidy
 from seqloom.functions import sequence as sq
+from seqloom.plans.dealt import split_sql
 from seqloom.operators import annotation, expression, intervals, loci, motif, offtarget, packed, periods, ranking, track
 
 WIDE = 200
@@ -310,7 +311,7 @@ SELECT user_id, round_even(v[1], 3) AS tscript_min, round_even(v[-1], 3) AS tscr
 SELECT user_id, first, last, round(mean, 6) AS mean FROM w WHERE n = 3 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY mean DESC, first) = 1""",
     "track_offsets": "SELECT doc_id, (7 + coalesce(sum(strlen(concat_ws(chr(9), doc_id::VARCHAR, path)) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\" FROM documents",
     "track_lists": """WITH t AS (SELECT guide_id, concat_ws(';', chrom || ':' || start, mm::VARCHAR) AS t, cfd FROM ot_records WHERE guide_id IS NOT NULL AND start IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY guide_id ORDER BY cfd DESC NULLS LAST, t) AS r, count(*) OVER (PARTITION BY guide_id) AS n FROM t)
-SELECT guide_id, any_value(n) AS off_targets, CASE WHEN any_value(n) <= 100 THEN string_agg(t, '|' ORDER BY r) FILTER (r <= 5) ELSE '' END AS list FROM k GROUP BY guide_id""",
+SELECT guide_id, any_value(n) AS off_targets, CASE WHEN any_value(n) <= 2000 THEN string_agg(t, '|' ORDER BY r) FILTER (r <= 100) ELSE '' END AS list FROM k GROUP BY guide_id""",
     "ids_tidied": r"""WITH g AS (SELECT nullif(regexp_replace(id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '') AS id, upper(sequence) AS q FROM gscan_output), n AS (SELECT id, q, replace(q, 'N', '') AS b FROM g WHERE id IS NOT NULL)
 SELECT id, count(DISTINCT q) AS sequences, max((length(b) - length(translate(b, 'GC', ''))) * 100.0::DOUBLE / nullif(length(b), 0))::DECIMAL(10, 4)::DOUBLE AS gc FROM n GROUP BY id""",
     "join_on_off": "WITH a AS (SELECT DISTINCT contig FROM combine_on_off), b AS (SELECT DISTINCT contig FROM flashfry_raw) SELECT 'both' AS side, count(*) AS rows FROM a JOIN b USING (contig) UNION ALL SELECT 'on', count(*) FROM a ANTI JOIN b USING (contig) UNION ALL SELECT 'off', count(*) FROM b ANTI JOIN a USING (contig)",
@@ -383,9 +384,10 @@ def orf_blocks(spark, d):
     return rows.select("region_set", "chrom", "blocks", sq.block_aa_length(F.col("blocks")).alias("aa"))
 
 
-_PLACES = r"""WITH q AS (SELECT DISTINCT contig, target, offTargets AS o FROM flashfry_raw WHERE regexp_full_match(offTargets, '[ACGT]+_[0-9]+_[0-9]+<[^>]*>(,[ACGT]+_[0-9]+_[0-9]+<[^>]*>)*')),
-x AS (SELECT contig, target, unnest(string_split(o[:-2], '>,')) AS x FROM q), y AS (SELECT contig, target, string_split(x, '_')[1] AS site, unnest(string_split(x[instr(x, '<') + 1:], '|')) AS l FROM x),
-p AS (SELECT contig, target, site, l[:-3] || ':' || CASE WHEN l[-1:] = 'F' THEN '+' ELSE '-' END AS place, hamming(target[5:24], site[5:24]) AS mm FROM y WHERE regexp_full_match(l, '.*\^[FR]') AND length(target) = length(site))
+_PLACES = f"""WITH q AS (SELECT DISTINCT contig, target, array_to_string(list_filter({split_sql("offTargets")}, lambda z: z <> ''), ',') AS o FROM flashfry_raw WHERE offTargets IS NOT NULL),
+x AS (SELECT contig, target, unnest(regexp_extract_all(o, '[^,<]+(?:<[^>]*>)?')) AS x FROM q),
+y AS (SELECT contig, target, regexp_extract(trim(x), '^([ACGTN]+)_([0-9]+)_([0-9]+)(?:<(.*)>)?', 1) AS site, unnest(list_filter(string_split(regexp_extract(trim(x), '^([ACGTN]+)_([0-9]+)_([0-9]+)(?:<(.*)>)?', 4), '|'), lambda z: z <> '')) AS l FROM x),
+p AS (SELECT contig, target, site, l[:-3] || ':' || CASE WHEN l[-1:] = 'F' THEN '+' ELSE '-' END AS place, CASE WHEN least(length(target), length(site)) <= 4 THEN 999 ELSE hamming(target[5:least(24, length(target), length(site))], site[5:least(24, length(target), length(site))]) END AS mm FROM y WHERE regexp_full_match(l, '.+\\^[FR]'))
 """
 QUERIES |= {f.__name__: f for f in (tile_tasks, spec_outer, orf_blocks, loci_places, loci_summary, compare_scores, compare_alleles, union_tables, tasks_remaining)}
 SQL |= {
@@ -393,7 +395,7 @@ SQL |= {
     "spec_outer": r"""WITH a AS (SELECT id, CASE WHEN NOT isnan(specificity_tttn) THEN specificity_tttn END AS specificity_tttn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) AS r FROM ot_aggregate WHERE id IS NOT NULL) WHERE r = 1),
 b AS (SELECT nullif(regexp_replace(id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '') AS id, max(CASE WHEN NOT isnan(specificity) THEN specificity END) AS specificity FROM gscan_output GROUP BY 1)
 SELECT id, specificity_tttn, specificity FROM a FULL JOIN (SELECT * FROM b WHERE id IS NOT NULL) USING (id) WHERE specificity_tttn IS NOT NULL OR specificity IS NOT NULL""",
-    "orf_blocks": _R + """, b AS (SELECT region_set, chrom, list_slice(list_sort(list(DISTINCT s || '-' || e)), 1, 3) AS l FROM r GROUP BY region_set, chrom)
+    "orf_blocks": _R + """, b AS (SELECT region_set, chrom, list_sort(list(DISTINCT s || '-' || e)) AS l FROM r GROUP BY region_set, chrom)
 SELECT region_set, chrom, array_to_string(l, '|') AS blocks, list_sum(list_transform(l, lambda x: string_split(x, '-')[2]::BIGINT - string_split(x, '-')[1]::BIGINT + 1))::BIGINT // 3 - 1 AS aa FROM b""",
     "loci_places": _PLACES + "SELECT contig, mm::INTEGER AS mm, count(*) AS places, min(place) AS first FROM p GROUP BY contig, mm",
     "loci_summary": _PLACES + r""", s AS (SELECT *, list_product(list_transform(range(1, 21), lambda i: CASE WHEN target[i + 4] = site[i + 4] THEN 1.0::DOUBLE ELSE round(0.5 + 0.02 * i, 4)::DOUBLE END)) AS cfd,
@@ -402,17 +404,17 @@ a AS (SELECT contig, count(*) FILTER (mm = 0) AS mm0, count(*) FILTER (mm = 1) A
   bool_or(other) AS o, bool_or(other AND regexp_matches(site, '^TTT[ACG]')) AS ov, bool_or(other AND starts_with(site, 'TTTT')) AS ot FROM s GROUP BY contig)
 SELECT contig, mm0, mm1, mm2, mm3, mm4, round(CASE WHEN n > 0 THEN 1 / n END, 6) AS tttn_score, round(CASE WHEN v > 0 THEN 1 / v END, 6) AS tttv_score, NOT o AS unique_tttn, (NOT o OR (NOT ov AND ot)) AS unique_tttv FROM a""",
     "compare_scores": "WITH m AS (SELECT max(cfd) AS a, max(cfd2) AS b FROM ot_records WHERE guide_id IS NOT NULL GROUP BY guide_id) SELECT count(*) AS shared, count(*) FILTER (abs(a - b) <= 0.01) AS equal, round(max(abs(a - b)), 6) AS largest, round(avg(abs(a - b)), 6) AS mean FROM m",
-    "compare_alleles": """WITH r AS (SELECT * FROM guide_sidecar WHERE sequence IS NOT NULL), f AS (SELECT guide_id, arg_min(sequence, (loaded_at, sequence)) AS s FROM r GROUP BY guide_id), l AS (SELECT guide_id, arg_max(sequence, (loaded_at, sequence)) AS s FROM r WHERE on_count > 1 GROUP BY guide_id)
+    "compare_alleles": """WITH r AS (SELECT * FROM guide_sidecar WHERE sequence IS NOT NULL), f AS (SELECT guide_id, arg_min(sequence, (loaded_at, sequence)) AS s FROM r GROUP BY guide_id), l AS (SELECT guide_id, arg_max(sequence, (loaded_at, sequence)) AS s FROM r GROUP BY guide_id)
 SELECT 'differ' AS side, count(*) AS guides FROM f JOIN l USING (guide_id) WHERE f.s <> l.s UNION ALL SELECT 'first', count(*) FROM f ANTI JOIN l USING (guide_id) UNION ALL SELECT 'last', count(*) FROM l ANTI JOIN f USING (guide_id)""",
     "union_tables": "SELECT r_regionkey AS k, r_name AS name FROM region UNION SELECT n_nationkey, n_name FROM nation",
-    "tasks_remaining": "WITH d AS (SELECT DISTINCT string_split(contig, ':')[1] AS chrom, string_split(contig, ':')[3] AS strand FROM flashfry_raw) SELECT DISTINCT chrom, strand FROM combine_on_off c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.chrom = c.chrom AND d.strand = c.strand AND d.chrom < 'chrV')",
+    "tasks_remaining": "WITH d AS (SELECT DISTINCT string_split(contig, ':')[1] AS chrom, string_split(contig, ':')[3] AS strand FROM flashfry_raw) SELECT DISTINCT chrom, strand FROM combine_on_off c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.chrom = c.chrom AND d.strand = c.strand)",
 }
 
 SQL["track_rows"] = r"""WITH l AS (SELECT contig, chrom, start, strand, CASE WHEN NOT isnan(deepcpf1_score) THEN deepcpf1_score END AS eff, CASE WHEN NOT isnan(TTTV_enCas12a_aggregated_score) THEN TTTV_enCas12a_aggregated_score END AS spec
   FROM (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY loaded_at DESC) AS r FROM combine_on_off) WHERE r = 1),
 p AS (SELECT eff, round_even((min(k) + max(k)) / 2.0::DOUBLE / any_value(n) * 100, 2) AS pct FROM (SELECT eff, row_number() OVER (ORDER BY eff) AS k, count(*) OVER () AS n FROM l WHERE eff IS NOT NULL) GROUP BY eff),
-t AS (SELECT id, dropped, list_transform(range(1, 4), lambda i: coalesce(CASE WHEN regexp_full_match(trim(string_split(mismatch_counts, ';')[i]), '[+-]?[0-9]+') THEN try_cast(string_split(mismatch_counts, ';')[i] AS INTEGER) END, 0)) AS m FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) AS r FROM ot_aggregate) WHERE r = 1),
+t AS (SELECT id, dropped, list_transform(range(1, 4), lambda i: coalesce(CASE WHEN regexp_full_match(trim(a[i]), '[+-]?[0-9]+') THEN try_cast(a[i] AS INTEGER) END, 0)) AS m FROM (SELECT *, @SPLIT@ AS a, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) AS r FROM ot_aggregate) WHERE r = 1),
 j AS (SELECT l.*, p.pct, t.dropped, coalesce(t.m, [0, 0, 0]) AS m FROM l LEFT JOIN p ON p.eff = l.eff LEFT JOIN t ON t.id = l.contig)
 SELECT contig AS name, CASE WHEN strand = '+' THEN start - 4 ELSE start END AS chromStart, CASE WHEN strand = '+' THEN start + 23 ELSE start + 27 END AS chromEnd, least(1000, greatest(0, coalesce(round_even(spec * 100, 0), 0)))::INTEGER AS score,
   CASE WHEN coalesce(dropped = 1, false) OR m[1] > 0 THEN '150,150,150' WHEN m[2] > 0 OR m[3] > 0 THEN '120,120,120' WHEN coalesce(spec * 100, 0) <= 55 THEN '200,0,0' WHEN coalesce(pct, 0) < 50 THEN '255,100,100' WHEN pct < 75 THEN '255,255,0' ELSE '0,200,0' END AS itemRgb,
-  round_even(pct, 0)::INTEGER || '% (' || printf('%.4f', eff) || ')' AS shown FROM j"""
+  round_even(pct, 0)::INTEGER || '% (' || printf('%.4f', eff) || ')' AS shown FROM j""".replace("@SPLIT@", split_sql("mismatch_counts", False))

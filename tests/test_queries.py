@@ -11,8 +11,6 @@ import __spark_entry__ as entry
 duckdb = pytest.importorskip("duckdb")
 from seqloom import plans  # noqa: E402
 
-SLOW = {"gene_consensus"}
-
 
 @pytest.fixture(scope="module")
 def oracle(data):
@@ -29,7 +27,7 @@ def rows(df):
     return Counter(tuple(plain(v) for v in r) for r in df.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_query_equals_sql(spark, data, oracle, name):
     got, want = plans.QUERIES[name](spark, data).toPandas(), oracle.sql(plans.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

@@ -5,7 +5,11 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from seqloom import plans
+from seqloom.functions import sequence as sq
+from seqloom.operators import offtarget
 from seqloom.plans.sequence_queries import MATRIX
 from seqloom.sinks import writers
 
@@ -60,13 +64,19 @@ def test_near_pairs_and_scores_up_to_four_mismatches(spark, tmp_path):
     distance = lambda a, b: sum(x != y for x, y in zip(a, b))
     want = sorted((i, u, distance(s, u), seqs.count(u)) for i, s in enumerate(seqs) for u in set(seqs) if distance(s, u) <= 4)
     assert {w[2] for w in want} == set(range(5))
-    got = _query(spark, tmp_path, "near_pairs", guide_sidecar=side)
+    got = _query(spark, tmp_path, "near_own", guide_sidecar=side)
     assert sorted((r.guide_id, r.site, r.mm, r.loci) for r in got) == want
-    for r in _query(spark, tmp_path, "near_scores", guide_sidecar=side):
+    guides = spark.createDataFrame(list(enumerate(seqs)), "guide_id int, guide string")
+    sites = spark.createDataFrame([(u, "A" + t, seqs.count(u)) for u, t in zip(sorted(set(seqs)), ["GG", "AG", "TT"] * 99)], "site string, pam string, loci long")
+    tail = {s.site: sq.PAM_TAIL.get(s.pam[1:], 0.0) for s in sites.collect()}
+    scored = offtarget.near_matches(guides, sites, "guide", "site", 23, 4).withColumn("cfd", offtarget.pair_score(F.col("guide"), F.col("site"), MATRIX, 23) * offtarget.pam_weight(F.col("pam")))
+    totals = offtarget.per_guide(scored, ["guide_id"], "cfd").collect()
+    assert {r.guide_id for r in totals} == set(range(len(seqs)))
+    for r in totals:
         own = [w for w in want if w[0] == r.guide_id]
-        score = lambda w: math.prod(MATRIX[p, a, b] for p, (a, b) in enumerate(zip(seqs[w[0]], w[1]), 1) if a != b)
+        score = lambda w: tail[w[1]] * math.prod(MATRIX[p, a, b] for p, (a, b) in enumerate(zip(seqs[w[0]], w[1]), 1) if a != b)
         counts = [sum(w[3] for w in own if w[2] == d) for d in range(5)]
-        assert r.mm_counts == ";".join(map(str, [counts[0] - 1, *counts[1:]])) and r.off_count == sum(counts[1:])
+        assert list(r.mm_counts) == [counts[0] - 1, *counts[1:]] and r.off_count == sum(counts[1:]) and r.on_count == counts[0]
         assert abs(r.cfd_sum - sum(score(w) * w[3] for w in own if w[2] > 0)) < 2e-6
 
 
