@@ -79,7 +79,7 @@ SPREAD_BYTES = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where it has less than one smallest split per core; unchanged otherwise.
+    """``df`` over all cores where it has fewer splits than cores and less than one smallest split per core; unchanged otherwise.
 
     Spark reads so small an input in a task or two, whatever is done with each
     row.  What is moved is bounded by ``SPREAD_BYTES`` a core; an input of any
@@ -87,7 +87,7 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+    return df.repartition(cores) if size < cores * SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
 _shipped: set[str] = set()
