@@ -6,9 +6,9 @@ length; anything else scores null.  Weights are loaded once per worker.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -101,13 +101,25 @@ def melting(seqs: Sequence[str], strand1: float = 25.0, strand2: float = 25.0, s
     return 1000 * heat / (entropy + 1.987 * np.log((strand1 - strand2 / 2) * 1e-9)) - 273.15
 
 
+def separate(pairs: np.ndarray) -> np.ndarray:
+    """Occurrences of each pair of letters that don't overlap, from marks (rows, places, 16): of a run of one letter every second place counts."""
+    counts = pairs.sum(1)
+    for k in range(0, 16, 5):  # only a pair of equal letters can overlap itself
+        taken, total = np.zeros(len(pairs)), np.zeros(len(pairs))
+        for at in range(pairs.shape[1]):
+            taken = pairs[:, at, k] * (1 - taken)
+            total += taken
+        counts[:, k] = total
+    return counts
+
+
 def composition_features(seqs: Sequence[str], spans: Sequence[tuple[int, int]] = ((0, 34), (4, 9), (9, 17), (17, 24))) -> np.ndarray:
     """Features of sequences of one length: GC share, shares of bases and of pairs that don't overlap, one-hot bases and pairs by position, melting temperatures of four spans (689 for 34 bases)."""
     hot = one_hot(seqs)
     n, length = hot.shape[:2]
     base = hot.mean(1)
     pairs = (hot[:, :-1, :, None] * hot[:, 1:, None, :]).reshape(n, length - 1, 16)
-    counts = np.array([[s.upper().count(a + b) for a, b in product("ACGT", repeat=2)] for s in seqs], float).reshape(n, 16) / (length - 1)
+    counts = separate(pairs).reshape(n, 16) / (length - 1)
     temperatures = np.stack([melting([s[a:b] for s in seqs]) for a, b in spans], 1)
     return np.concatenate([base[:, [1, 2]].sum(1, keepdims=True), base, counts, hot.reshape(n, -1), pairs.reshape(n, -1), temperatures], 1)
 
@@ -172,17 +184,42 @@ def score(sequence: Column, scorer: str, weights: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = load(weights)
         for batch in batches:
-            seqs = batch.to_pylist()
-            ok = [i for i, s in enumerate(seqs) if s is not None and len(s) == model.length and not set(s.upper()) - set("ACGT")]
-            out: list[float | None] = [None] * len(seqs)
-            if ok:
-                for i, x in zip(ok, model.predict([seqs[i] for i in ok], w)):
-                    out[i] = round(float(x), model.digits)
-            yield pa.array(out, pa.float64())
+            valid = pa.compute.fill_null(pa.compute.match_substring_regex(batch, "^[ACGTacgt]{%d}$" % model.length), False)
+            out = np.full(len(batch), np.nan)
+            if pa.compute.any(valid).as_py():
+                out[valid.to_numpy(zero_copy_only=False)] = np.round(np.asarray(model.predict(batch.filter(valid).to_pylist(), w), float), model.digits)
+            yield pa.array(out, from_pandas=True)
 
     return run(sequence)
 
 
+def variant_score(sequence: Column, name: str, folder: str) -> Column:
+    """Score of a 31-base sequence by the weights of a variant, whose file in ``folder`` has the variant's name in any spelling."""
+    files = {sq.variant_key(os.path.splitext(f)[0]): os.path.join(folder, f) for f in sorted(os.listdir(folder)) if f.endswith(".npz")}
+    if sq.variant_key(name) not in files:
+        raise ValueError(f"no variant is called {name}; there are {', '.join(sorted(files))}")
+    return score(sequence, "cas12a_deep_cnn", files[sq.variant_key(name)])
+
+
+def rule_set_3(context: Column, tracr: str = "Chen2013") -> Column:
+    """Z-score of 30 bases by the public package ``rs3``, rounded to 4 digits; an error where rows are read if it is not installed.  Null for other lengths or letters."""
+    if tracr not in ("Hsu2013", "Chen2013"):
+        raise ValueError("the tracr is Hsu2013 or Chen2013")
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from rs3.seq import predict_seq
+
+        for batch in batches:
+            valid = pa.compute.fill_null(pa.compute.match_substring_regex(batch, "^[ACGTacgt]{30}$"), False)
+            found = np.round(np.asarray(predict_seq(batch.filter(valid).to_pylist(), sequence_tracr=tracr), float), 4) if pa.compute.any(valid).as_py() else np.empty(0)
+            out = np.full(len(batch), np.nan)
+            out[valid.to_numpy(zero_copy_only=False)] = found
+            yield pa.array(out, from_pandas=True)
+
+    return run(context)
+
+
 def chosen(names: Sequence[str], cas12a: bool, tracr: str | None, variants: Mapping[str, str]) -> list[str]:
     """Scorers of a run without repeats: ``both`` stands for the two Cas12a ones; Cas12a scorers exclude a tracr, a variant scorer needs known variants."""
     out: list[str] = []

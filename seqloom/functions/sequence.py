@@ -105,10 +105,21 @@ def unpack(v: Column, length: int) -> Column:
     return F.translate(F.lpad(F.conv(v.cast("string"), 10, 4), length, "0"), "0123", "ACGT")
 
 
-def packed_mismatches(a: Column, b: Column) -> Column:
-    """Different bases of two packed sequences of one length."""
+def packed_mismatches(a: Column, b: Column, mask: int = LOW_BITS) -> Column:
+    """Different bases of two packed sequences of one length, at the places of ``mask`` (see :func:`compare_mask`)."""
     x = a.bitwiseXOR(b)
-    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(LOW_BITS)))
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(mask)))
+
+
+def compare_mask(guide: int, motif: int, five_prime: bool = False) -> int:
+    """Low bits of the guide's bases in a packed site of guide and motif: what a comparison that leaves the motif out looks at."""
+    bits = sum(1 << 2 * i for i in range(guide))
+    return bits if five_prime else bits << 2 * motif
+
+
+def prefix_mismatches(a: Column, b: Column, width: int, length: int, mask: int = LOW_BITS) -> Column:
+    """Different bases among the first ``width`` of two packed sequences, at the places of ``mask``: the least distance of whole bins."""
+    return packed_mismatches(F.shiftrightunsigned(a, 2 * (length - width)), F.shiftrightunsigned(b, 2 * (length - width)), mask >> 2 * (length - width))
 
 
 def mismatches(a: Column, b: Column) -> Column:

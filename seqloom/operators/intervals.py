@@ -61,6 +61,20 @@ def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS, bo
     return one.unionAll(free.select(*columns)).unionAll(a.where(~known).select(*columns))
 
 
+def contained(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS, bounds: tuple[str, str] = ("start", "end"), tile: int = TILE) -> DataFrame:
+    """Rows of ``left`` that lie wholly within a range of ``right`` with equal keys; equal ranges contain each other.
+
+    A range that holds a row reaches the tile the row begins in, so that one is
+    looked at and no row comes twice.  Null keys and bounds are in no range.
+    """
+    s, e = bounds
+    b = right.select(*(quoted(k).alias(f"r_{k}") for k in keys), quoted(s).alias("__rs"), quoted(e).alias("__re")).where("__rs <= __re")
+    b = _tiled(b, F.col("__rs"), F.col("__re"), tile).withColumnRenamed("__tile", "__rtile").drop("__first")
+    same = reduce(lambda x, y: x & y, (quoted(k) == quoted(f"r_{k}") for k in keys))
+    a = left.withColumn("__tile", F.floor(quoted(s) / F.lit(tile)))
+    return a.join(b, same & (F.col("__tile") == F.col("__rtile")) & (F.col("__rs") <= quoted(s)) & (quoted(e) <= F.col("__re")), "left_semi").drop("__tile")
+
+
 def intersect(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS, bounds: tuple[str, str] = ("start", "end")) -> DataFrame:
     """The pieces that pairs of ranges share: keys and bounds, one row per overlapping pair."""
     s, e = bounds

@@ -65,6 +65,21 @@ def allele_specific(a: DataFrame, b: DataFrame, key: str, sequence: str, least:
     return both, a.join(b.select(key).distinct(), key, "left_anti"), b.join(a.select(key).distinct(), key, "left_anti")
 
 
+def sides(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """How many different keys two tables share, and how many only one has: ``side`` (both, first, second) and ``rows``."""
+    j = a.select(quoted(key).alias("k")).distinct().withColumn("__a", F.lit(1)).join(b.select(quoted(key).alias("k")).distinct().withColumn("__b", F.lit(1)), "k", "full_outer")
+    side = F.when(F.col("__a").isNull(), "second").when(F.col("__b").isNull(), "first").otherwise("both")
+    return j.groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def paired(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Rows of two tables with equal keys; that both have the same keys is checked first, and an error where they don't."""
+    odd = {r["side"]: r["rows"] for r in sides(a, b, key).collect() if r["side"] != "both"}
+    if odd:
+        raise ValueError(f"keys of one table alone: {odd}")
+    return a.join(b, key)
+
+
 def union_checked(frames: Sequence[DataFrame]) -> DataFrame:
     """All rows of tables whose columns are the same, else an error."""
     first = frames[0].columns

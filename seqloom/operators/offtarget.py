@@ -246,6 +246,33 @@ def legacy_specificity(total_with_own: Column) -> Column:
     return F.when(F.coalesce(total_with_own, F.lit(0.0)) == 0, 1.0).otherwise(1.0 / total_with_own)
 
 
+def with_totals(guides: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """All guides with their totals, nulls where there are none, and ``state``: both, no hits, no guide."""
+    own = totals.withColumn("__t", F.lit(1))
+    j = guides.withColumn("__g", F.lit(1)).join(own, key, "full_outer")
+    return j.withColumn("state", F.when(F.col("__t").isNull(), "no hits").when(F.col("__g").isNull(), "no guide").otherwise("both")).drop("__g", "__t")
+
+
+# fixed values: names of score metrics, and conventions of specificity by output format
+METRICS = {"cfd": "cfd", "doench2016cfd": "cfd", "cfd-cas12a": "cas12a-2xnls", "cfd-cas12a:2xnls": "cas12a-2xnls", "cas12a-2xnls": "cas12a-2xnls", "cfd-cas12a:encas12a": "cas12a-encas12a", "cas12a-encas12a": "cas12a-encas12a", "encas12a": "cas12a-encas12a"}
+CONVENTIONS = {"tsv": "flashfry", "csv": "guidescan", "both": "guidescan"}
+WIDEST_BIN = 15
+
+
+def metric(name: str) -> str:
+    """The score metric that a name stands for, in any case; an unknown one is an error."""
+    if name.lower() not in METRICS:
+        raise ValueError(f"no score metric is called {name}")
+    return METRICS[name.lower()]
+
+
+def bin_width(width: int | str) -> int:
+    """The bases of a bin, 1 to 15."""
+    if not 1 <= int(width) <= WIDEST_BIN:
+        raise ValueError(f"a bin has 1 to {WIDEST_BIN} bases, not {width}")
+    return int(width)
+
+
 def saturated(on_count: Column, off_count: Column, cfd_sum: Column, most: int | None = None, least: float | None = None) -> Column:
     """Whether a guide has at least ``most`` places, or a specificity below ``least``."""
     out = F.lit(False)

@@ -140,6 +140,14 @@ def slices(chunks: DataFrame, regions: DataFrame) -> DataFrame:
     return joined.select(F.concat("chrom", F.lit("_"), F.col("start").cast("string"), F.lit(":"), F.col("stop").cast("string")).alias("name"), "chrom", "start", F.col("stop").alias("end"), "sequence")
 
 
+def stranded(chunks: DataFrame, places: DataFrame, length: int = 27) -> DataFrame:
+    """``places`` (``chrom``, ``start``, ``strand``) with the ``length`` bases from there, as their strand reads them; null where they leave the contig."""
+    regions = places.select("chrom", "start", (F.col("start") + length).alias("end")).where("start >= 0").distinct()
+    found = slices(chunks, regions).where(F.length("sequence") == length).select(F.col("chrom").alias("__c"), F.col("start").alias("__s"), "sequence")
+    text = F.when(F.col("strand") == "-", sq.reverse_complement(F.col("sequence"))).otherwise(F.col("sequence"))
+    return places.join(found, (F.col("chrom") == F.col("__c")) & (F.col("start") == F.col("__s")), "left").withColumn("sequence", text).drop("__c", "__s")
+
+
 def gtf(spark: SparkSession, path: str, feature: str | None = None) -> DataFrame:
     """Annotation rows with ``gene_id``, ``transcript_id`` and all attributes as a map; comments are skipped."""
     rows = spark.read.csv(path, sep="\t", comment="#", quote="", schema=GTF)
@@ -231,7 +239,11 @@ def penalty_matrix(spark: SparkSession, path: str, complement: bool = False, len
     if not {"Pos", "MM", "avg_percent_active"} <= set(rows.columns):
         raise ValueError(f"{path} has no columns Pos, MM and avg_percent_active")
     out = {}
-    for r in rows.limit(16 * length + 1).collect():
+    most = 16 * length
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{path} has more than {most} rows")
+    for r in found:
         p = int(r["Pos"])
         if not 1 <= p <= length:
             raise ValueError(f"position {p} is not within 1 to {length}")

@@ -1,14 +1,16 @@
 """Interval, ranking, expression and track operators against brute force, and properties of sequence functions."""
 
 import random
+from collections import Counter
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequence as sq
-from seqloom.operators import expression, intervals, offtarget, ranking, track
+from seqloom.operators import expression, intervals, loci, offtarget, ranking, track
 
 REGION = "chrom string, start long, end long, name string"
 
@@ -113,3 +115,74 @@ def test_sequence_edge_cases(spark):
     df = spark.createDataFrame([("",), (None,), ("TTTTGGGGG",)], "s string")
     rows = df.select(sq.gc_percent(F.col("s")).alias("gc"), sq.is_dna(F.col("s")).alias("ok"), sq.reverse_complement(F.col("s")).alias("rc"), sq.keep_guide(F.col("s"), poly_t=True).alias("k"), sq.trimmed_mismatches(F.col("s"), F.lit("AC")).alias("t")).collect()
     assert (rows[0].gc, rows[0].ok, rows[0].rc, rows[0].t) == (None, False, "", 999) and rows[1].ok is False and rows[2].k is False
+
+
+def _greedy(rows, d):
+    chosen, kept = [], []
+    for k, s, e, o in sorted(rows, key=lambda r: (r[3], r[1], r[2])):
+        if (s, e) in chosen or not any(s <= b + d and e >= a - d for a, b in chosen):
+            chosen.append((s, e))
+            kept.append((k, s, e, o))
+    return kept
+
+
+def test_spaced_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(k, s, s + rng.choice([0, 1, 20]), rng.randrange(9)) for k in "ab" for s in (rng.randrange(3000) for _ in range(150))]
+    rows += rows[:5] + [("c", 1, 5, 0)]
+    df = spark.createDataFrame([*rows, ("a", None, 3, 0), (None, 3, 4, 0)], "k string, s long, e long, o int")
+    got = sorted(map(tuple, ranking.spaced(df, ["k"], ["o"], "s", "e", 7).collect()))
+    assert got == sorted(x for k in "abc" for x in _greedy([r for r in rows if r[0] == k], 7))
+    assert ranking.spaced(df.limit(0), ["k"], ["o"], "s", "e", 7).count() == 0
+
+
+def test_contained_ranges(regions):
+    a, b, da, db = regions
+    inside = lambda p, q: None not in (*p[:3], *q[:3]) and p[0] == q[0] and q[1] <= p[1] and p[2] <= q[2]
+    for tile in (16, 1 << 14):
+        assert sorted(r.name for r in intervals.contained(da, db, tile=tile).collect()) == sorted(p[3] for p in a if any(inside(p, q) for q in b))
+
+
+def test_statistics_of_groups(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("xy"), rng.choice([1.0, 2.0, rng.random() * 4, None, float("nan"), -1.0]), rng.random(), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, v double, w double, i long")
+    x, y = ([r[1] for r in rows if r[0] == g and r[1] is not None and r[1] == r[1]] for g in "xy")
+    u = sum((p > q) + (p == q) / 2 for p in x for q in y)
+    got = ranking.mann_whitney(df, "g", "v", "x", "y").first()
+    n = len(x) + len(y)
+    ties = sum(c**3 - c for c in Counter(x + y).values())
+    assert (got.n_a, got.n_b, got.u_a, got.u_b) == (len(x), len(y), u, len(x) * len(y) - u)
+    assert got.z == pytest.approx((u - len(x) * len(y) / 2) / (len(x) * len(y) / 12 * (n + 1 - ties / (n * (n - 1)))) ** 0.5)
+    assert ranking.mann_whitney(df.limit(0), "g", "v", "x", "y").first().z is None
+    for r in ranking.correlations(df, "g", "v", "w").collect():
+        own = pd.DataFrame([(p[1], p[2]) for p in rows if p[0] == r.g and p[1] is not None and p[1] == p[1]])
+        assert r["rows"] == len(own) and r.pearson == pytest.approx(own.corr().iloc[0, 1]) and r.spearman == pytest.approx(own.rank().corr().iloc[0, 1])
+    shares = {r.column: (r["rows"], r.above) for r in ranking.shares_above(df, ["v", "w"]).collect()}
+    full = [r for r in rows if r[1] is not None and r[1] == r[1] and r[1] != -1]
+    assert shares == {"v": (len(full), sum(r[1] > 0.2 for r in full)), "w": (len(full), sum(r[2] > 0.2 for r in full))}
+    chunks = {r.i: r.chunk for r in ranking.row_chunks(df, "i", 40).collect()}
+    assert chunks == {i: i // 40 for i in range(300)}
+    assert [r.i for r in ranking.without(df.select("i"), df.where("i > 0").select("i"), "i").collect()] == [0]
+
+
+def test_sides_and_pairs_of_tables(spark):
+    a, b = (spark.createDataFrame([(k, k) for k in ks], f"k int, {n} int") for ks, n in (([1, 2, 2, 3], "x"), ([2, 3, 4], "y")))
+    assert {r.side: r["rows"] for r in loci.sides(a, b, "k").collect()} == {"both": 2, "first": 1, "second": 1}
+    with pytest.raises(ValueError):
+        loci.paired(a, b, "k")
+    assert loci.paired(a.where("k in (2, 3)"), b.where("k < 4"), "k").count() == 3
+    states = {r.k: r.state for r in offtarget.with_totals(a.distinct(), b, "k").collect()}
+    assert states == {1: "no hits", 2: "both", 3: "both", 4: "no guide"}
+    assert offtarget.metric("enCas12a") == "cas12a-encas12a" and offtarget.bin_width("15") == 15
+    for bad in (lambda: offtarget.metric("x"), lambda: offtarget.bin_width(16)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_masks_and_prefixes(spark):
+    a, b = "ACGTACGTACGTACGTACGTAGG", "ACCTACGTACGAACGTACGTTGC"
+    df = spark.createDataFrame([(a, b)], "a string, b string").select(sq.pack(F.col("a")).alias("a"), sq.pack(F.col("b")).alias("b"))
+    x, y = F.col("a"), F.col("b")
+    got = df.select(sq.packed_mismatches(x, y), sq.packed_mismatches(x, y, sq.compare_mask(20, 3)), sq.packed_mismatches(x, y, sq.compare_mask(20, 3, True)), sq.prefix_mismatches(x, y, 7, 23), sq.prefix_mismatches(x, y, 7, 23, sq.compare_mask(18, 5, True))).first()
+    assert tuple(got) == (4, 2, 3, 1, 0 + sum(p != q for p, q in zip(a[5:7], b[5:7])))
