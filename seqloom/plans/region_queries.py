@@ -154,7 +154,8 @@ def rank_count_summary(spark, d):
 
 
 def rank_without(spark, d):
-    return table(spark, d, "customer").select("c_custkey").exceptAll(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
+    """Guides of the sidecar without any record."""
+    return ranking.without(table(spark, d, "guide_sidecar"), table(spark, d, "ot_records"), "guide_id")
 
 
 def rank_buckets(spark, d):
@@ -212,20 +213,15 @@ def track_rows(spark, d):
 
 
 def join_on_off(spark, d):
-    """On-target and off-target rows of one contig, and contigs of one side alone."""
-    on = table(spark, d, "combine_on_off").select("contig").distinct()
-    off = table(spark, d, "flashfry_raw").select("contig").distinct()
-    side = lambda how, df: df.agg(F.lit(how).alias("side"), F.count(F.lit(1)).alias("rows"))
-    return side("both", on.join(off, "contig")).unionAll(side("on", on.join(off, "contig", "left_anti"))).unionAll(side("off", off.join(on, "contig", "left_anti")))
+    """Contigs that have on-target and off-target rows, and contigs of one side alone."""
+    return loci.sides(table(spark, d, "combine_on_off").where("contig is not null"), table(spark, d, "flashfry_raw").where("contig is not null"), "contig")
 
 
 def join_guides(spark, d):
     """Guides of a sidecar with their totals; guides without, and totals without guide."""
     side = latest(table(spark, d, "guide_sidecar"), ["guide_id"], ["id"])
     totals = offtarget.reaggregate(table(spark, d, "ot_records").where("guide_id is not null"), "guide_id", "cfd")
-    j = side.join(totals, "guide_id", "full_outer")
-    state = F.when(F.col("hits").isNull(), "no hits").when(F.col("id").isNull(), "no guide").otherwise("both")
-    return j.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("guides"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
+    return offtarget.with_totals(side, totals, "guide_id").groupBy("state").agg(F.count(F.lit(1)).alias("guides"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
 
 
 def ids_tidied(spark, d):
@@ -296,9 +292,12 @@ SELECT *, round_even((price_norm * 0.6180339::DOUBLE + size_norm * 0.3819661::DO
 SELECT 'at least' AS how, chr, count(*) AS rows FROM s WHERE a >= 50 AND b >= 0.5 GROUP BY chr UNION ALL SELECT 'above', chr, count(*) FROM s WHERE a > 50 AND b > 0.5 GROUP BY chr""",
     "rank_top": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS rank_no FROM orders QUALIFY rank_no <= 3",
     "rank_percent": "WITH p AS (SELECT on_count::DOUBLE AS n, (rank() OVER (ORDER BY on_count) + (count(*) OVER (PARTITION BY on_count) - 1) / 2.0::DOUBLE) / (SELECT count(on_count) FROM guide_sidecar) * 100 AS p FROM guide_sidecar WHERE on_count IS NOT NULL) SELECT n, round_even(p, 2) AS n_pct, count(*) AS rows FROM p GROUP BY ALL UNION ALL SELECT NULL, NULL, count(*) FROM guide_sidecar WHERE on_count IS NULL HAVING count(*) > 0",
+    "rank_spaced": _R + """, p AS (SELECT *, row_number() OVER (PARTITION BY region_set, chrom ORDER BY s, e) AS k FROM (SELECT DISTINCT region_set, chrom, s, e FROM r WHERE region_kind = 'peak')),
+z AS (WITH RECURSIVE w AS (SELECT region_set, chrom, s, e, k, true AS kept, e AS reach FROM p WHERE k = 1 UNION ALL SELECT p.region_set, p.chrom, p.s, p.e, p.k, p.s > w.reach + 1000, CASE WHEN p.s > w.reach + 1000 THEN p.e ELSE w.reach END FROM w JOIN p ON p.region_set = w.region_set AND p.chrom = w.chrom AND p.k = w.k + 1) SELECT * FROM w)
+SELECT region_set, chrom, s AS start, e AS "end" FROM z WHERE kept""",
     "rank_counts": _COUNTS + "SELECT n AS rows, count(*) AS targets FROM c GROUP BY n",
     "rank_count_summary": _COUNTS + "SELECT count(*) AS targets, count(*) FILTER (n = 0) AS without, min(n) AS least, max(n) AS largest, median(n) AS median_all, median(n) FILTER (n > 0) AS median_some FROM c",
-    "rank_without": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "rank_without": "SELECT DISTINCT guide_id FROM guide_sidecar WHERE guide_id IS NOT NULL AND guide_id NOT IN (SELECT guide_id FROM ot_records WHERE guide_id IS NOT NULL)",
     "rank_buckets": """WITH c AS (SELECT count(*) AS n FROM ot_records WHERE guide_id IS NOT NULL GROUP BY guide_id)
 SELECT CASE WHEN n <= 2 THEN n::VARCHAR WHEN n <= 4 THEN '3-4' WHEN n <= 9 THEN '5-9' WHEN n <= 19 THEN '10-19' WHEN n <= 49 THEN '20-49' ELSE '50+' END AS bucket, count(*) AS guides FROM c GROUP BY ALL""",
     "rank_correlation": """WITH r AS (SELECT cfd AS a, cfd2 AS b, rank() OVER (ORDER BY cfd) + (count(*) OVER (PARTITION BY cfd) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY cfd2) + (count(*) OVER (PARTITION BY cfd2) - 1) / 2.0::DOUBLE AS rb FROM ot_records WHERE cfd IS NOT NULL AND cfd2 IS NOT NULL)
@@ -314,7 +313,7 @@ SELECT user_id, first, last, round(mean, 6) AS mean FROM w WHERE n = 3 QUALIFY r
 SELECT guide_id, any_value(n) AS off_targets, CASE WHEN any_value(n) <= 2000 THEN string_agg(t, '|' ORDER BY r) FILTER (r <= 100) ELSE '' END AS list FROM k GROUP BY guide_id""",
     "ids_tidied": r"""WITH g AS (SELECT nullif(regexp_replace(id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '') AS id, upper(sequence) AS q FROM gscan_output), n AS (SELECT id, q, replace(q, 'N', '') AS b FROM g WHERE id IS NOT NULL)
 SELECT id, count(DISTINCT q) AS sequences, max((length(b) - length(translate(b, 'GC', ''))) * 100.0::DOUBLE / nullif(length(b), 0))::DECIMAL(10, 4)::DOUBLE AS gc FROM n GROUP BY id""",
-    "join_on_off": "WITH a AS (SELECT DISTINCT contig FROM combine_on_off), b AS (SELECT DISTINCT contig FROM flashfry_raw) SELECT 'both' AS side, count(*) AS rows FROM a JOIN b USING (contig) UNION ALL SELECT 'on', count(*) FROM a ANTI JOIN b USING (contig) UNION ALL SELECT 'off', count(*) FROM b ANTI JOIN a USING (contig)",
+    "join_on_off": "WITH a AS (SELECT DISTINCT contig, 1 AS x FROM combine_on_off WHERE contig IS NOT NULL), b AS (SELECT DISTINCT contig, 1 AS y FROM flashfry_raw WHERE contig IS NOT NULL) SELECT CASE WHEN x IS NULL THEN 'second' WHEN y IS NULL THEN 'first' ELSE 'both' END AS side, count(*) AS rows FROM a FULL JOIN b USING (contig) GROUP BY ALL",
     "join_guides": """WITH s AS (SELECT DISTINCT guide_id FROM guide_sidecar), t AS (SELECT guide_id, count(*) AS hits FROM ot_records WHERE guide_id IS NOT NULL GROUP BY guide_id)
 SELECT CASE WHEN hits IS NULL THEN 'no hits' WHEN s.guide_id IS NULL THEN 'no guide' ELSE 'both' END AS state, count(*) AS guides, coalesce(sum(hits), 0)::BIGINT AS hits FROM s FULL JOIN t ON s.guide_id = t.guide_id GROUP BY ALL""",
 }
