@@ -204,7 +204,7 @@ def io_sidecar(spark, d):
 def io_scored_bed(spark, d):
     path = _path(spark, "scored")
     rows = latest(table(spark, d, "combine_on_off"), ["contig"], ["chrom", "start", "deepcpf1_score"]).withColumn("specificity_one", F.col("start") % 7 / 2)
-    writers.scored_bed(rows.withColumn("deepcpf1_score", F.when(~F.isnan("deepcpf1_score"), F.lit(1.5))), path, ["chrom", "start", "contig", "deepcpf1_score"])
+    writers.scored_bed(rows.withColumn("deepcpf1_score", F.when(F.col("deepcpf1_score").isNotNull() & ~F.isnan("deepcpf1_score"), F.lit(1.5))), path, ["chrom", "start", "contig", "deepcpf1_score"])
     return _tsv(spark, path)
 
 
