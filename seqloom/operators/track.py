@@ -42,6 +42,32 @@ def byte_offsets(lines: DataFrame, order: str, line: Column, header: int = 0, ra
     return total.withColumn("offset", F.col("__to") - F.col("__bytes") + header).drop("__to", "__bytes")
 
 
+def details(records: DataFrame, guides: DataFrame, totals: DataFrame, cap: int = 100, blank_above: int = 2000) -> DataFrame:
+    """Lines of a details file: ``id``, ``guide_no`` (the order of lines), ``line`` (counts by distance, a tab, the list of off-targets).
+
+    ``records`` are single off-targets (``guide_id``, ``chrom``, ``start``,
+    ``strand``, ``mm``, ``cfd``), ``guides`` name them (``guide_id``, ``id``),
+    ``totals`` hold ``id``, ``mismatch_counts``, ``off_target_count``,
+    ``dropped``.  An off-target is written ``chrom:start`` and strand with its
+    score in thousandths, best first.  Dropped guides and those without
+    off-targets have no line; a cap or a bound of 0 or less is none.
+    """
+    text = F.concat(F.concat_ws(":", "chrom", F.col("start").cast("string")), F.lit(";"), F.col("strand"), F.lit(";"), F.rint(F.col("cfd") * 1000).cast("int").cast("string"))
+    lists = off_target_lists(records.where("guide_id is not null"), "guide_id", text, "cfd", cap if cap > 0 else 2**31 - 1, blank_above if blank_above > 0 else None)
+    own = totals.where("coalesce(dropped, 0) = 0 and off_target_count > 0").select("id", F.coalesce("mismatch_counts", F.lit("")).alias("__c"))
+    rows = guides.select("guide_id", "id").join(own, "id").join(lists, "guide_id", "left")
+    return rows.select("id", F.col("guide_id").alias("guide_no"), F.concat(F.col("__c"), F.lit("\t"), F.coalesce("list", F.lit(""))).alias("line"))
+
+
+DETAILS_HEADER = "_mismatchCounts\t_offtargets"
+
+
+def with_offsets(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Track rows with ``offset``, where their line begins in the details file; 0 for those that have none."""
+    at = byte_offsets(lines, "guide_no", F.col("line"), len(DETAILS_HEADER) + 1).select(F.col("id").alias("__id"), "offset")
+    return rows.join(at, F.col("name") == F.col("__id"), "left").drop("__id").withColumn("offset", F.coalesce("offset", F.lit(0).cast("long")))
+
+
 def build(guides: DataFrame, totals: DataFrame, efficiency: str, specificity: str) -> DataFrame:
     """Track rows of guides (``id``, ``chrom``, ``start``, ``strand``, scores) with per-guide totals (``id``, ``mismatch_counts``, ``dropped``).
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seqloom.common import quoted
 from seqloom.functions import models
 from seqloom.functions import sequence as sq
-from seqloom.operators import annotation, expression, intervals, motif, offtarget, ranking
+from seqloom.operators import annotation, expression, intervals, motif, offtarget, ranking, track
 
 
 def generate_guides(
@@ -129,6 +129,43 @@ def score_guides(
     return guides.join(totals.select("__guide", f"specificity_{name}", "cfd_sum", "max_cfd", "on_count", "off_count", "mm_counts"), F.upper("guide") == F.col("__guide"), "left").drop("__guide")
 
 
+def off_targets(guides: DataFrame, sites: DataFrame, places: DataFrame, matrix: Mapping[tuple[int, str, str], float], length: int = 20, most: int = 4, weigh_pam: bool = True) -> DataFrame:
+    """Every place near a guide (``id``, ``guide`` and its place): a row per hit with what the writers of off-targets need.
+
+    The search runs over different sequences; only sequences that were hit
+    meet their places.
+    """
+    found = near_hits(guides, sites, matrix, length, most, weigh_pam)
+    beside = [c for c in ("pam",) if c in sites.columns and c in places.columns]
+    at = places.select("site", *beside, F.col("contig").alias("match_chrm"), F.col("offset").alias("match_position"), F.col("strand").alias("match_strand"))
+    hits = found.drop("loci").join(at, ["site", *beside])
+    own = guides.select(F.upper("guide").alias("__guide"), "id", F.col("guide").alias("sequence"), "guide", "contig", "start", F.col("sense").alias("strand"))
+    totals = found.groupBy("__guide").agg(F.sum(F.when(F.col("mm") > 0, F.col("cfd") * F.col("loci")).otherwise(0.0)).alias("__s"), F.sum(F.when(F.col("mm") == 0, F.col("loci")).otherwise(0)).alias("__o"))
+    rows = own.join(hits, "__guide").join(totals, "__guide")
+    return rows.withColumns({"match_distance": F.col("mm"), "specificity": offtarget.specificity(F.col("__s"), F.col("__o"))}).drop("__guide", "__s", "__o")
+
+
+def numbered(guides: DataFrame) -> DataFrame:
+    """Guides with ``id``, their composite name, and ``guide_id``, their number in order of a hash of it: no order of the whole table is needed."""
+    named = guides.withColumn("id", motif.packed_id(guides)).withColumn("__h", F.xxhash64("id").cast("double"))
+    return ranking.running_total(named.withColumn("__one", F.lit(1)), "__h", "__one", "__to").withColumn("guide_id", F.col("__to") - 1).drop("__h", "__one", "__to")
+
+
+def make_track(guides: DataFrame, sites: DataFrame, places: DataFrame, matrix: Mapping[tuple[int, str, str], float], efficiency: str, length: int = 23, most: int = 4, weigh_pam: bool = False, cap: int = 100, blank_above: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """Track rows of guides (``guide_id``, ``id``, place, ``efficiency`` column), with where their line begins, and the lines of the details file.
+
+    Repeated guides stay: a guide that occurs at several places is coloured as
+    such, not left out.
+    """
+    hits = off_targets(guides, sites, places, matrix, length, most, weigh_pam).join(guides.select("guide_id", F.col("id").alias("__id")), F.col("id") == F.col("__id")).drop("__id")
+    scored = hits.withColumn("loci", F.lit(1))
+    totals = offtarget.per_guide(scored, ["id"], "cfd", most=most)
+    totals = totals.select("id", offtarget.specificity(F.col("cfd_sum"), F.col("on_count")).alias("__spec"), F.array_join("mm_counts", ";").alias("mismatch_counts"), F.col("off_count").alias("off_target_count"), F.lit(0).alias("dropped"))
+    rows = guides.select("id", F.col("contig").alias("chrom"), "start", F.col("sense").alias("strand"), quoted(efficiency).alias("__eff")).join(totals.select("id", "__spec"), "id", "left")
+    lines = track.details(hits.where("mm > 0").select("guide_id", F.col("match_chrm").alias("chrom"), F.col("match_position").alias("start"), F.col("match_strand").alias("strand"), "mm", "cfd"), guides, totals, cap, blank_above)
+    return track.with_offsets(track.build(rows, totals, "__eff", "__spec"), lines), lines
+
+
 def rank_guides(
     guides: DataFrame, targets: DataFrame, least: Mapping[str, float] | None = None, weights: Mapping[str, float] | None = None, normalise: bool = True, spacing: int = 0, top_n: int = -1, percentiles: tuple[float, float] = (0, 100), feature: str | None = None,
 ) -> DataFrame:

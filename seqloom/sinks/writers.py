@@ -75,16 +75,35 @@ def off_target_tsv(df: DataFrame, path: str, scores: Sequence[str] = ()) -> None
     tsv(rows, path, null="NA")
 
 
-def aggregate_csv(df: DataFrame, path: str, dropped: DataFrame | None = None) -> None:
-    """Per-guide totals; dropped guides follow with blanks and ``dropped`` 1."""
+#: Columns of specificity in aggregate files: of Cas9, of Cas12a by motif, and of Cas12a by two matrices.
+SPECIFICITIES = {"cas9": ["specificity"], "cas12a": ["specificity_tttn", "specificity_tttv"], "dual": ["specificity_tttn", "specificity_tttv", "specificity_tttn_2xnls", "specificity_tttv_2xnls"]}
+
+
+def aggregate_csv(df: DataFrame, path: str, dropped: DataFrame | None = None, kind: str = "cas9") -> None:
+    """Per-guide totals with the specificity columns of a ``kind``; dropped guides follow with blanks and ``dropped`` 1."""
     counts = F.array_join(F.col("mm_counts"), ";")
-    rows = df.select("id", F.col("specificity"), "max_cfd", F.col("off_count").alias("off_target_count"), counts.alias("mismatch_counts"), F.col("saturated").cast("int").alias("saturated"), F.lit(0).alias("dropped"))
+    rows = df.select("id", *SPECIFICITIES[kind], "max_cfd", F.col("off_count").alias("off_target_count"), counts.alias("mismatch_counts"), F.col("saturated").cast("int").alias("saturated"), F.lit(0).alias("dropped"))
     if dropped is not None:
         blank = [F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c not in ("id", "dropped")]
         rows = rows.unionByName(dropped.select("id", *blank, F.lit(1).alias("dropped")))
     rows.write.mode("overwrite").csv(path, header=True)
 
 
+def hits(df: DataFrame, path: str, form: str = "csv", scores: Sequence[str] = ()) -> None:
+    """Off-targets of guides as ``csv`` (a row per place), ``tsv`` (a row per guide), or ``both``: the lists then lie in ``path`` + ``.detail``."""
+    if form not in ("csv", "tsv", "both"):
+        raise ValueError("hits are written as csv, tsv or both")
+    if form in ("csv", "both"):
+        off_target_csv(df, path)
+    if form in ("tsv", "both"):
+        off_target_tsv(df.groupBy("contig", "start", "strand", "guide", "site", "mm", *scores).agg(F.count(F.lit(1)).alias("loci")), path + (".detail" if form == "both" else ""), scores)
+
+
+def targets_without(df: DataFrame, path: str) -> None:
+    """Targets that have no guide, one a line."""
+    df.select(F.col(df.columns[0]).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
 def records(df: DataFrame, path: str, text: bool = False) -> None:
     """Single off-targets, as Parquet sorted inside guides, or as text."""
     rows = df.repartition("guide_id").sortWithinPartitions("guide_id", F.desc("cfd"))
@@ -106,6 +125,13 @@ def index(sites: DataFrame, path: str, width: int = 4, enzyme: motif.Enzyme | No
     spark.createDataFrame([(1, width, enzyme.pam if enzyme else None, enzyme.length if enzyme else None)], "version int, width int, pam string, length int").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
+def details(lines: DataFrame, path: str, header: str) -> None:
+    """Lines of a details file in order, in one file, as the offsets in a track count from its beginning."""
+    spark = lines.sparkSession
+    rows = spark.createDataFrame([(-1, header)], "guide_no long, line string").unionByName(lines.select(F.col("guide_no").cast("long").alias("guide_no"), "line"))
+    rows.orderBy("guide_no").select(F.col("line").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def track(rows: DataFrame, path: str) -> None:
     """Track rows in order of place, with a description of the columns beside them."""
     tsv(rows.orderBy("chrom", "chromStart"), f"{path}/bed", header=False)

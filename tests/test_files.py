@@ -252,6 +252,37 @@ def test_pipeline_from_files_to_files(spark, genome, tmp_path):
         assert h.cfd == pytest.approx(product * sq.PAM_TAIL.get(h.pam[1:], 0.0))
     cli.main(["rank-guides", str(tmp_path / "s"), keep, "-o", str(tmp_path / "r"), "--columns", "specificity_index", "-n", "3", "--spacing", "5"])
     ranked = spark.read.parquet(str(tmp_path / "r")).collect()
+    targets = {"k", "k2"}
+    assert {r.value for r in spark.read.text(str(tmp_path / "r.without")).collect()} == targets - {r.target_id for r in ranked}
+    counts = {r.target_id: int(r["rows"]) for r in spark.read.csv(str(tmp_path / "r.counts"), sep="\t", header=True).collect()}
+    assert counts == {t: sum(r.target_id == t for r in ranked) for t in targets}
+    # every place of every hit, in both forms, and the sidecar
+    cli.main(["score-guides", str(tmp_path / "g/guides"), "--index", str(tmp_path / "i"), "-o", str(tmp_path / "h"), "--keep-duplicates", "--matrix", matrix, "--threshold", "-1", "--mismatches", "2", "--hits", "both", "--name", "all"])
+    hits = spark.read.csv(str(tmp_path / "h.hits"), header=True).collect()
+    at = [(p.site, p.contig, p.offset, p.strand) for p in spark.read.parquet(str(tmp_path / "i/places")).collect()]
+    near = lambda g, s: sum(a != b for a, b in zip(g, s))
+    want = sorted((r.guide, c, str(o), st, str(near(r.guide, s))) for r in rows for s, c, o, st in at if near(r.guide, s) <= 2)
+    assert sorted((h.sequence, h.match_chrm, h.match_position, h.match_strand, h.match_distance) for h in hits) == want
+    lists = {(r.contig, int(r.start), r.strand): r.offTargets for r in spark.read.csv(str(tmp_path / "h.hits.detail"), sep="\t", header=True).collect()}
+    assert lists.keys() == {(r.contig, r.start, r.sense) for r in rows}
+    assert sum(int(x.split("_")[1]) for v in lists.values() for x in v.split(",")) == len(want)
+    side = spark.read.csv(str(tmp_path / "h.sidecar"), sep="\t", header=True).collect()
+    assert sorted(int(r.guide_id) for r in side) == list(range(len(rows))) and {r.sequence for r in side} == {r.guide for r in rows}
+    # the track: each guide's line begins where its row says
+    spark.read.parquet(str(tmp_path / "g/guides")).withColumn("eff", F.rand(1)).write.parquet(str(tmp_path / "e"))
+    cli.main(["track", str(tmp_path / "e"), "--index", str(tmp_path / "i"), "-o", str(tmp_path / "t"), "--matrix", matrix, "--mismatches", "4", "--efficiency", "eff"])
+    (part,) = (tmp_path / "t/details").glob("part-*")
+    data = part.read_bytes()
+    bed = spark.read.csv(str(tmp_path / "t/bed"), sep="\t").collect()
+    assert len(bed) == len(rows) and "offset" in "".join(r.value for r in spark.read.text(str(tmp_path / "t/columns")).collect())
+    for r in bed:
+        guide, offset = r[3].split(",")[1], int(r[-1])
+        off = [(s, c, o, st) for s, c, o, st in at if 0 < near(guide, s) <= 4]
+        assert bool(off) == (offset > 0)
+        if off:
+            counts, listed = data[offset:].split(b"\n", 1)[0].decode().split("\t")
+            assert counts.split(";")[1:] == [str(sum(near(guide, x[0]) == d for x in off)) for d in range(1, 5)]
+            assert sorted(x.rsplit(";", 1)[0] for x in listed.split("|")) == sorted(f"{c}:{o};{st}" for _, c, o, st in off)
     assert {r.target_id for r in ranked} <= {"chrA_50_800", "k", "k2"} and max(r.rank_no for r in ranked) <= 3
     assert pipeline.preprocess_annotation(readers.gtf(spark, write(tmp_path / "a.gtf", GTF)).where("transcript_id is not null").drop("pairs"), model="metagene")["model"].count() == 4
 
@@ -264,6 +295,9 @@ def test_writers(spark, tmp_path, genome):
     totals = spark.createDataFrame([("a", 0.5, 0.1, 3, [0, 1, 2], True)], "id string, specificity double, max_cfd double, off_count long, mm_counts array<int>, saturated boolean")
     writers.aggregate_csv(totals, str(tmp_path / "a"), spark.createDataFrame([("z",)], "id string"))
     back = {r.id: r for r in spark.read.csv(str(tmp_path / "a"), header=True).collect()}
+    two = totals.withColumnsRenamed({"specificity": "specificity_tttn"}).withColumn("specificity_tttv", F.lit(0.7))
+    writers.aggregate_csv(two, str(tmp_path / "a12"), kind="cas12a")
+    assert spark.read.csv(str(tmp_path / "a12"), header=True).columns[:3] == ["id", "specificity_tttn", "specificity_tttv"]
     assert back["a"].mismatch_counts == "0;1;2" and back["z"].specificity is None and back["z"].dropped == "1"
     hits = spark.createDataFrame([("c", 5, "+", "ACG", "ACT", 1, 2), ("c", 5, "+", "ACG", "ACG", 0, 1)], "contig string, start long, strand string, guide string, site string, mm int, loci long")
     writers.off_target_tsv(hits, str(tmp_path / "t"))
