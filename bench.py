@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 HEADLINE = [
     "p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p6_found", "p7_ids", "p8_found", "p9_found", "p1_guides",
-    "seq_motif_scan", "seq_guides", "near_pairs", "near_scores", "ots_reaggregate", "range_inner", "region_subtract", "gene_metagene", "rank_top", "track_lists", "track_rows",
+    "seq_motif_scan", "seq_guides", "seq_long_scan", "near_pairs", "near_own", "near_search", "near_scores", "ots_reaggregate", "range_inner", "region_subtract", "gene_metagene", "rank_top", "track_lists", "track_rows",
 ]
 
 

@@ -150,6 +150,15 @@ def near_pairs(spark, d):
     return _pairs(spark, d).select("guide_id", "site", "pam", F.col("mm").cast("long").alias("mm"), "loci")
 
 
+def near_search(spark, d):
+    """Guides of every twentieth document searched among the sites of all documents: places by distance."""
+    found = motif.sites(_dna(spark, d), "dna", NGG, ("doc_id",)).select("doc_id", F.lit("c").alias("contig"), "offset", "strand", motif.protospacer(F.col("site"), NGG).alias("spacer"))
+    sites, _ = offtarget.index(found, "spacer")
+    guides = found.where("doc_id % 20 = 0").select(F.col("spacer").alias("guide")).distinct()
+    hits = offtarget.near_matches(guides, sites.select("site", "loci"), "guide", "site", 20, RADIUS)
+    return hits.groupBy("guide").agg(*(F.sum(F.when(F.col("mm") == i, F.col("loci")).otherwise(0)).alias(f"mm{i}") for i in range(RADIUS + 1)))
+
+
 def near_own(spark, d):
     """Near pairs among the guides of the sidecar themselves."""
     rows = _sidecar(spark, d).where(sq.is_dna(F.col("sequence"), 23))
@@ -233,7 +242,7 @@ _CODES = "(VALUES " + ", ".join(f"('{k}', {list(v)!r})" for k, v in sq.IUPAC.ite
 
 QUERIES = {f.__name__: f for f in (
     seq_motif_scan, seq_guides, seq_guides_5prime, seq_chunks, seq_guide_filters, seq_scalars, seq_melting, seq_mismatches, seq_quantised, seq_iupac, seq_long_scan, cell_targets, cell_mismatch_counts, cell_attributes,
-    near_pairs, near_own, near_prescreen, near_scores, ots_reaggregate, ots_capped, ots_floor, ots_unique_guides, ots_first_per_id,
+    near_pairs, near_own, near_search, near_prescreen, near_scores, ots_reaggregate, ots_capped, ots_floor, ots_unique_guides, ots_first_per_id,
 )}
 
 _nearest = lambda k: " ".join(f"WHEN '{a}' THEN {v[k]}" for a, v in sq.NEAREST.items())
@@ -270,6 +279,8 @@ m AS (SELECT list_transform(range(1, 4), lambda i: coalesce(CASE WHEN regexp_ful
 SELECT m[1] AS mm0, m[2] AS mm1, m[3] AS mm2, count(*) AS rows FROM m GROUP BY ALL""",
     "cell_attributes": "SELECT p_partkey, p_brand AS gene, p_name AS transcript, p_size::VARCHAR AS size, NULL::VARCHAR AS none FROM part",
     "near_pairs": _NEAR + "SELECT guide_id, site, pam, mm, loci FROM p",
+    "near_search": _SITES + """, u AS (SELECT site[1:20] AS site, count(*) AS loci FROM h GROUP BY 1), g AS (SELECT DISTINCT site[1:20] AS guide FROM h WHERE doc_id % 20 = 0), p AS (SELECT guide, hamming(guide, site) AS mm, loci FROM g, u WHERE hamming(guide, site) <= 4)
+SELECT guide, """ + ", ".join(f"sum(CASE WHEN mm = {i} THEN loci ELSE 0 END)::BIGINT AS mm{i}" for i in range(5)) + " FROM p GROUP BY guide",
     "near_own": _OWN + "SELECT guide_id, site, mm, loci FROM p",
     "near_prescreen": _SCREEN + "SELECT guide_id FROM v WHERE guide_id NOT IN (SELECT guide_id FROM p GROUP BY guide_id HAVING max(mm) > 0 OR sum(loci) FILTER (mm = 0) > 1)",
     "near_scores": _NEAR + f""", s AS (SELECT *, list_product(list_transform(range(1, 24), lambda i: CASE WHEN guide[i] = site[i] THEN 1.0::DOUBLE ELSE round({_PENALTY}, 4)::DOUBLE END)) * {_WEIGHT} AS cfd FROM p),
