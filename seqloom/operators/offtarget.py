@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,25 @@ TABLED = 1 << 20
 PAIRS_AT_ONCE, SEED_BITS = 1 << 21, 20
 
 
-def _choices(length: int, most: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+#: What looking a seed up costs, in comparisons of a pair.
+LOOKUP = 3
+
+
+def agreeing(length: int, most: int, guides: int) -> int:
+    """How many segments to choose at once, so that lookups and pairs to compare together cost least for so many guides."""
+    cost = lambda k: comb(most + k, k) * (LOOKUP + guides / 4.0 ** (length * k / (most + k)))
+    return min((k for k in range(1, 5) if most + k <= length), key=cost)
+
+
+def _choices(length: int, most: int, agree: int | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
     """Segments, and the choices of segments of which near sequences agree in one at least.
 
-    Cut into ``most`` + 1 segments, two sequences with at most ``most``
-    different bases agree in one segment at least, and cut into ``most`` + 2 in
-    two of them, which is taken where one alone would be shorter than ``SEED``.
+    Cut into ``most`` + k segments, two sequences with at most ``most``
+    different bases agree in k of them at least.  If it isn't given, k is 1, or
+    2 where one segment alone would be shorter than ``SEED``.
     """
-    agree = 1 if length // (most + 1) >= SEED else 2
+    if agree is None:
+        agree = 1 if length // (most + 1) >= SEED else 2
     parts = segments(length, most + agree)
     return parts, list(combinations(range(len(parts)), agree))
 
@@ -84,8 +96,8 @@ def near_matches(guides: DataFrame, sites: DataFrame, guide: str, site: str, len
 class _Table:
     """Guides by the numbers of their seeds."""
 
-    def __init__(self, guides: list[str], length: int, most: int):
-        self.parts, self.choices = _choices(length, most)
+    def __init__(self, guides: list[str], length: int, most: int, agree: int | None = None):
+        self.parts, self.choices = _choices(length, most, agree or agreeing(length, most, len(guides)))
         self.length, self.most = length, most
         self.guides = pa.array(sorted(guides), pa.string())
         self.packed = self.pack(self.guides)
@@ -94,7 +106,8 @@ class _Table:
         for choice in self.choices:
             number = self.seed(self.packed, choice)
             order = np.argsort(number, kind="stable")
-            self.by_seed.append((order, np.searchsorted(number[order], np.arange((1 << SEED_BITS) + 1))))
+            bits = min(SEED_BITS, 2 * sum(self.parts[i][1] for i in choice))
+            self.by_seed.append((order.astype(np.int32), np.searchsorted(number[order], np.arange((1 << bits) + 1)).astype(np.int32)))
 
     def pack(self, texts: pa.Array) -> np.ndarray:
         """Two bits a base, the first base highest, of pure sequences of the table's length."""
@@ -122,7 +135,7 @@ class _Table:
         """Blocks of pairs: numbers of sites and guides and their distances; each pair once, at the first choice in which it agrees."""
         for choice, (order, starts) in zip(self.choices, self.by_seed):
             number = self.seed(packed, choice)
-            first, count = starts[number], starts[number + 1] - starts[number]
+            first, count = starts[number], (starts[number + 1] - starts[number]).astype(np.int64)
             ends = np.cumsum(count)
             at = 0
             while at < len(packed):
@@ -157,6 +170,42 @@ def _looked_up(keys, sites: DataFrame, guide: str, site: str, length: int, most:
     return rows.mapInArrow(find, T.StructType(fields))
 
 
+def near_counts(guides: DataFrame, sites: DataFrame, guide: str, site: str, count: str, length: int, most: int, tabled: int = TABLED) -> DataFrame:
+    """Different guides with the places near them by distance: ``guide``, ``mm0`` ... ``mm<most>``; guides without any have no row.
+
+    As :func:`near_matches`, but no pair leaves the worker that finds it: each
+    task sums up the places (column ``count`` of the sites) per guide.
+    """
+    if not 0 <= most < length <= 31:
+        raise ValueError("the radius must be smaller than the sequence, and that at most 31 bases")
+    sums = [f"mm{i}" for i in range(most + 1)]
+    keys = guides.select(F.upper(quoted(guide)).alias("k")).where(sq.is_dna(F.col("k"), length)).distinct()
+    known = keys.limit(tabled + 1).toArrow()
+    if len(known) > tabled:
+        hits = _joined(keys.withColumnRenamed("k", guide), sites.select(quoted(site), quoted(count)), guide, site, length, most)
+        return hits.groupBy(quoted(guide)).agg(*(F.sum(F.when(F.col("mm") == i, quoted(count)).otherwise(0)).alias(n) for i, n in enumerate(sums)))
+    shared = sites.sparkSession.sparkContext.broadcast(known.column("k").to_pylist())
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, total = None, None
+        for batch in batches:
+            if table is None:
+                table = _Table(shared.value, length, most)
+                total = np.zeros((len(table.guides), most + 1), np.int64)
+            places = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for s, g, mm in table.near(table.pack(batch.column(0))):
+                np.add.at(total, (g, mm), places[s])
+        if table is not None:
+            found = np.flatnonzero(total.any(1))
+            for at in range(0, len(found), 1 << 16):
+                own = found[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([table.guides.take(pa.array(own)), *(pa.array(total[own, i]) for i in range(most + 1))], names=[guide, *sums])
+
+    rows = sites.select(F.upper(quoted(site)).alias("s"), F.coalesce(quoted(count).cast("long"), F.lit(0)).alias("n")).where(sq.is_dna(F.col("s"), length))
+    fields = [T.StructField(guide, T.StringType()), *(T.StructField(n, T.LongType()) for n in sums)]
+    return rows.mapInArrow(find, T.StructType(fields)).groupBy(quoted(guide)).agg(*(F.sum(n).alias(n) for n in sums))
+
+
 def _joined(guides: DataFrame, sites: DataFrame, guide: str, site: str, length: int, most: int) -> DataFrame:
     """All near pairs by a join on the number of a choice of segments and their bases.
 

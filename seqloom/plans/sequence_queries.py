@@ -155,8 +155,7 @@ def near_search(spark, d):
     found = motif.sites(_dna(spark, d), "dna", NGG, ("doc_id",)).select("doc_id", F.lit("c").alias("contig"), "offset", "strand", motif.protospacer(F.col("site"), NGG).alias("spacer"))
     sites, _ = offtarget.index(found, "spacer")
     guides = found.where("doc_id % 20 = 0").select(F.col("spacer").alias("guide")).distinct()
-    hits = offtarget.near_matches(guides, sites.select("site", "loci"), "guide", "site", 20, RADIUS)
-    return hits.groupBy("guide").agg(*(F.sum(F.when(F.col("mm") == i, F.col("loci")).otherwise(0)).alias(f"mm{i}") for i in range(RADIUS + 1)))
+    return offtarget.near_counts(guides, sites, "guide", "site", "loci", 20, RADIUS)
 
 
 def near_own(spark, d):

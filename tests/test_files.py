@@ -120,6 +120,25 @@ def test_near_matches_against_brute_force(spark):
         assert again.count() == len(want) + sum(w[0] == 0 for w in want)
 
 
+@pytest.mark.parametrize("most", (1, 3, 4))
+def test_any_number_of_agreeing_segments_and_counts(spark, most):
+    rng = random.Random(7)
+    base = sorted({"".join(rng.choice("ACGT") for _ in range(20)) for _ in range(30)} | {"A" * 20})
+    sites = ["".join(rng.choice("ACGT") if rng.random() < 0.15 else c for c in b) for b in base for _ in range(12)]
+    distance = lambda a, b: sum(x != y for x, y in zip(a, b))
+    want = sorted((j, i, d) for j, s in enumerate(sites) for i, g in enumerate(base) if (d := distance(g, s)) <= most)
+    for agree in (1, 2, 3, 4):
+        table = offtarget._Table(base, 20, most, agree)
+        assert sorted((int(j), int(i), int(d)) for block in table.near(table.pack(offtarget.pa.array(sites))) for j, i, d in zip(*block)) == want
+    guides = spark.createDataFrame([(g,) for g in [*base, base[0], None, "ACG"]], "guide string")
+    rows = spark.createDataFrame([(s.lower(), j % 3) for j, s in enumerate(sites)] + [(None, 1), ("N" * 20, 1)], "site string, n int").repartition(3)
+    counts = {base[i]: [sum(j % 3 for j, k, d in want if k == i and d == x) for x in range(most + 1)] for _, i, _ in want}
+    for tabled in (offtarget.TABLED, 4):
+        got = {r[0]: list(r[1:]) for r in offtarget.near_counts(guides, rows, "guide", "site", "n", 20, most, tabled).collect()}
+        assert {k: v for k, v in got.items() if any(v)} == {k: v for k, v in counts.items() if any(v)}
+    assert offtarget.near_counts(guides.limit(0), rows, "guide", "site", "n", 20, most).count() == 0
+
+
 def test_sites_of_odd_sequences(spark):
     odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "ACGT", "x"), (4, "é" + "acgt" * 5 + "aGG" + "中", "x")], "id int, s string, offset string")
     got = motif.sites(odd, "s", motif.PRESETS["spcas9-ngg"], ("id",), around=(1, 3)).collect()
