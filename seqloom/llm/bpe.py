@@ -13,12 +13,14 @@ needs no shuffle and no statistics.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: The public vocabulary used where no other path is given; never copied into the repository.
@@ -291,15 +293,30 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
 
 
+def _sent(path: str) -> None:
+    """Sends a vocabulary to the executors of a cluster, which may lack it."""
+    context = SparkSession.active().sparkContext
+    known = (context.applicationId, path)
+    if not context.master.startswith("local") and os.path.isfile(path) and known not in _files:
+        context.addFile(path)
+        _files.add(known)
+
+
+_files: set[tuple[str, str]] = set()
+
+
 def _encoder(path: str) -> Encoder:
-    return _shared(("encoder", path), lambda: Encoder(path))
+    there = path if os.path.isfile(path) else SparkFiles.get(os.path.basename(path))
+    return _shared(("encoder", path), lambda: Encoder(there))
 
 
 def token_ids(text: Column, path: str = VOCABULARY) -> Column:
     """Ids of a text, special tokens' strings read as ordinary text; an empty list for null and empty texts.
 
-    ``path`` is read on every executor.  Texts of any length are encoded whole.
+    ``path`` is a file of the driver, sent to executors that don't have it.
+    Texts of any length are encoded whole.
     """
+    _sent(path)
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -312,6 +329,7 @@ def token_ids(text: Column, path: str = VOCABULARY) -> Column:
 
 def token_count(text: Column, path: str = VOCABULARY) -> Column:
     """Number of ids of a text; 0 for null and empty texts."""
+    _sent(path)
 
     @F.arrow_udf("int")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
