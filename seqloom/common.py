@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -100,6 +101,7 @@ def ship(spark: SparkSession) -> None:
         return
     package = os.path.dirname(os.path.abspath(__file__))
     if os.path.isdir(package):  # not from an archive, which is shipped already
-        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "seqloom"), "zip", os.path.dirname(package), "seqloom")
-        context.addPyFile(archive)
+        folder = tempfile.mkdtemp()  # of the driver alone, until Spark has its copy
+        context.addPyFile(shutil.make_archive(os.path.join(folder, "seqloom"), "zip", os.path.dirname(package), "seqloom"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     _shipped.add(context.applicationId)
