@@ -95,7 +95,7 @@ def _p5_part(name: str, key: str, field: str) -> str:
 
 _P5_ROWS = " UNION ALL ".join(_p5_part(n, k, f) for n, (k, fs) in LISTS.items() for f in fs)
 _P4 = r"""
-WITH r AS (SELECT region_set, regexp_replace(upper(regexp_replace(chrom, '[\s\p{Z}]+', '', 'g')), '^CHR', '') AS c, least(start, "end") AS s, greatest(start, "end") AS e FROM bed_regions
+WITH r AS (SELECT DISTINCT region_set, regexp_replace(upper(regexp_replace(chrom, '[\s\p{Z}]+', '', 'g')), '^CHR', '') AS c, least(start, "end") AS s, greatest(start, "end") AS e FROM bed_regions
            WHERE region_set IS NOT NULL AND chrom IS NOT NULL AND start IS NOT NULL AND "end" IS NOT NULL AND start <> "end"),
 m AS (SELECT *, max(e) OVER (PARTITION BY region_set, c ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r WHERE c <> ''),
 i AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY region_set, c ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m),

@@ -238,7 +238,7 @@ g AS (SELECT guide_id, 'chr' || upper(substr(chrom, 4)) AS chrom, position AS p
 
 def _merged(rows: str, keys: str, s: str = "s", e: str = "e", touch: str = ">") -> str:
     return f"""SELECT {keys}, min({s}) AS s, max({e}) AS e FROM (SELECT *, sum(CASE WHEN b IS NULL OR {s} {touch} b THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY {s}, {e} ROWS UNBOUNDED PRECEDING) AS k
-  FROM (SELECT *, max({e}) OVER (PARTITION BY {keys} ORDER BY {s}, {e} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM ({rows}))) GROUP BY {keys}, k"""
+  FROM (SELECT *, max({e}) OVER (PARTITION BY {keys} ORDER BY {s}, {e} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT DISTINCT {keys}, {s}, {e} FROM ({rows})))) GROUP BY {keys}, k"""
 
 
 _EXON, _PEAK = "SELECT chrom, s, e FROM r WHERE region_kind = 'exon'", "SELECT chrom, s, e FROM r WHERE region_kind = 'peak'"
